@@ -15,38 +15,47 @@ from pyspark.sql import functions as F
 
 from weft.runtime import cut
 
+CHUNK = "_chunk"
 
-def chunked(df: DataFrame, key: str, order: list[str], label: str = "chunked") -> DataFrame:
-    """``df`` sorted by ``(key, *order)`` in a table with a column ``_chunk`` that rises with the order.
 
-    Rows of one key and chunk are contiguous.  ``order`` should make rows of a key unique;
-    ties stay in one chunk or in neighbouring ones in either order.
+def chunked(df: DataFrame, keys: list[str], order: list[str], label: str = "chunked") -> DataFrame:
+    """``df`` sorted by ``(*keys, *order)`` in a table with a column ``_chunk`` that rises with the order.
+
+    ``order`` should make the rows of a key unique; ties may fall in either order, but the table
+    fixes where they fall.
     """
     n = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = df.repartitionByRange(n, key, *order)
-    return cut(ranged.withColumn("_chunk", F.spark_partition_id()), label)
+    ranged = df.repartitionByRange(n, *keys, *order)
+    return cut(ranged.withColumn(CHUNK, F.spark_partition_id()), label)
 
 
-def offsets(table: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
-    """Per ``(key, _chunk)``: for each named value its sum over all earlier chunks of the key.
+def offsets(table: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Per ``(*keys, _chunk)``: for each named value its sum over all earlier chunks of the key, as ``_o_<name>``.
 
-    The window runs over one row per key and chunk, at most the number of partitions.
+    The window runs over one row per key and chunk, so at most as many as there are partitions.
     """
-    seg = table.groupBy(key, "_chunk").agg(*[F.sum(v).alias(f"_s_{n}") for n, v in values.items()])
-    w = W.partitionBy(key).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
-    return seg.select(key, "_chunk", *[F.coalesce(F.sum(f"_s_{n}").over(w), F.lit(0)).alias(f"_o_{n}") for n in values])
+    seg = table.groupBy(*keys, CHUNK).agg(*[F.sum(v).alias(f"_s_{n}") for n, v in values.items()])
+    w = W.partitionBy(*keys).orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    return seg.select(*keys, CHUNK, *[F.coalesce(F.sum(f"_s_{n}").over(w), F.lit(0)).alias(f"_o_{n}") for n in values])
+
+
+def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join on ``keys`` where null equals null; the right side's keys are dropped."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[f"_r_{k}"])
+        on = c if on is None else on & c
+    return left.join(r, on, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def running_total(df: DataFrame, key: str, order: list[str], value: str, out: str, label: str = "running") -> DataFrame:
-    """Adds ``out``: the sum of ``value`` over the rows of the same key that come before this row.
+def running_total(table: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """Adds ``out`` to a table of :func:`chunked`: the sum of ``value`` over the key's earlier rows.
 
-    Null keys form one group; null values count as 0.  Ties in ``order`` are broken arbitrarily,
-    but once: the sorted rows are kept in a table.
+    Null keys form one group; null values count as 0.
     """
-    table = chunked(df, key, order, label)
-    v = F.coalesce(F.col(value), F.lit(0))
-    off = offsets(table, key, {"v": v}).withColumnRenamed(key, "_k").withColumnRenamed("_chunk", "_c")
-    w = W.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    v = F.coalesce(value, F.lit(0))
+    w = W.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     within = table.withColumn("_in", F.coalesce(F.sum(v).over(w), F.lit(0)))
-    joined = within.join(off, (F.col(key).eqNullSafe(F.col("_k"))) & (F.col("_chunk") == F.col("_c")), "left")
-    return joined.withColumn(out, F.col("_in") + F.coalesce(F.col("_o_v"), F.lit(0))).drop("_k", "_c", "_o_v", "_in", "_chunk")
+    joined = null_safe(within, offsets(table, keys, {"v": v}), [*keys, CHUNK])
+    return joined.withColumn(out, F.col("_in") + F.coalesce(F.col("_o_v"), F.lit(0))).drop("_o_v", "_in")
