@@ -34,6 +34,8 @@ from weft.runtime import cut
 SIZE, HALF = 8, 6
 #: Bins for the counts of shingles (one byte each) and the count above which a bin is frequent.
 BINS, FREQUENT = 1 << 23, 64
+#: Variants are shuffled as 40-bit hashes: the zero bytes compress, a chance collision costs one comparison.
+VARIANT = (1 << 40) - 1
 
 
 def _texts(b: pa.RecordBatch) -> list[list[bytes]]:
@@ -96,7 +98,7 @@ def meeting_pairs(prints: DataFrame) -> DataFrame:
     core = SIZE - HALF
     assert core == 2
     e = [F.get("print", F.lit(i)) for i in range(SIZE)]
-    keys = [F.when(e[j].isNotNull(), F.xxhash64(e[i], e[j])) for j in range(SIZE) for i in range(j)]
+    keys = [F.when(e[j].isNotNull(), F.xxhash64(e[i], e[j]).bitwiseAND(VARIANT)) for j in range(SIZE) for i in range(j)]
     variants = prints.select("id", F.explode(F.array_compact(F.array(*keys))).alias("v"))
     x, y = variants.select("v", F.col("id").alias("a")), variants.select("v", F.col("id").alias("b"))
     return x.join(y, "v").where("a < b").select("a", "b").distinct()
@@ -144,9 +146,9 @@ def near_duplicates(df: DataFrame, k: int = 5, least: float = 0.8, least_words:
     """
     df = df.select("id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull())
     prints = cut(fingerprints(df, k, least_words, bins, frequent), "prints")
-    reps = cut(prints.groupBy("cls").agg(F.min("id").alias("cls_id"), F.first("print").alias("print")), "reps")
-    members = prints.select("id", "cls").join(reps.select("cls", "cls_id"), "cls").select("id", "cls_id").distinct()
-    pairs = meeting_pairs(reps.select(F.col("cls_id").alias("id"), "print"))
+    ids = prints.select("id", "cls")
+    members = ids.join(ids.groupBy("cls").agg(F.min("id").alias("cls_id")), "cls").select("id", "cls_id").distinct()
+    pairs = meeting_pairs(prints.groupBy("cls").agg(F.min("id").alias("id"), F.first("print").alias("print")).select("id", "print"))
     return members, verified(pairs, df, k, least)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import near
+from weft.llm import conversations, leak, mixing, near, repetition, truncation
 from weft.runtime import read_table
 
 # ---------------------------------------------------------------- problem 1
@@ -34,5 +34,140 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("id").alias("section_id"), F.col("cls_id").alias("class_id"), "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_groups": p1_groups}
-SQL: dict[str, str] = {}
+# ---------------------------------------------------------------- problem 2
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The messages of the intact recorded sessions, in order."""
+    return conversations.session_conversations(read_table(spark, d, "calls"), read_table(spark, d, "sessions"))
+
+
+def p2_unassigned(spark: SparkSession, d: str) -> DataFrame:
+    """Intact conversations among rows without a session id: channels are agents, split at calibrated pauses."""
+    calls = read_table(spark, d, "calls")
+    named = conversations.channel_of(F.col("session_id"))
+    known = conversations.chunked(conversations.records(calls, named), ["channel"], ["ts", "id"], "known")
+    gap = conversations.calibrated_gap(known)
+    lost = calls.where(named.isNull() | (named == ""))
+    found = conversations.conversations(conversations.records(lost, F.coalesce("agent", F.lit("unknown"))), gap)
+    return found.select(F.col("channel").alias("agent"), "part", "msg_no", "role", F.col("id").alias("call_id"))
+
+
+# ---------------------------------------------------------------- problem 3
+
+
+def _turn_values(spark: SparkSession, d: str) -> DataFrame:
+    both = F.inline(F.array(F.struct(F.lit("request").alias("field"), F.col("request").alias("text")), F.struct(F.lit("outcome").alias("field"), F.col("outcome").alias("text"))))
+    return read_table(spark, d, "turns").select(F.col("turn_no").alias("id"), "source", both)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Values of turns whose end was lost."""
+    found = truncation.cut_values(_turn_values(spark, d)).where("cut")
+    return found.select(F.col("id").alias("turn_no"), "field").distinct()
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per source and field: values, cut values and their share."""
+    once = truncation.cut_values(_turn_values(spark, d)).groupBy("source", "field", "id").agg(F.max("cut").alias("cut"))
+    return once.groupBy("source", "field").agg(F.count("*").alias("n_values"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("int")).alias("share_cut"))
+
+
+# ---------------------------------------------------------------- problem 6
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leak.leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the evaluation items of which they hold twelve consecutive words."""
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation item: how many documents leak it, and the longest leaked run in words."""
+    got = _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("length").alias("longest"))
+    items = read_table(spark, d, "eval_items").select("item_id", "suite")
+    return items.join(got, "item_id", "left").select("item_id", "suite", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("longest", F.lit(0)).alias("longest"))
+
+
+# ---------------------------------------------------------------- problem 7
+
+
+def _mixture(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixture(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of the mix with their repeat counts and the tokens they contribute."""
+    return _mixture(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per target source: target and reached share of the mix."""
+    return _mixture(spark, d)[1]
+
+
+# ---------------------------------------------------------------- problem 8
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of whose five-word sequences at least 30 % repeat an earlier one."""
+    shares = repetition.repeated_shares(read_table(spark, d, "documents"), blocks=False)
+    return shares.where("sequences > 0 AND (sequences - distinct) * 10 >= 3 * sequences").select("doc_id").distinct()
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the share of its word sequences, lines, sentences and paragraphs that are repetition."""
+    return repetition.repeated_shares(read_table(spark, d, "documents"))
+
+
+def p8_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the lines that are boilerplate of its source, what is left, and whether it is rejected."""
+    host = F.lower(F.regexp_replace("source", r"(?U)^\s+|\s+$", ""))
+    return repetition.line_frequency(read_table(spark, d, "documents").select("doc_id", host.alias("host"), "text"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (p1_found, p1_groups, p2_found, p2_unassigned, p3_found, p3_rates, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_shares, p8_lines)
+}
+
+_WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
+
+
+def _grams(text: str, k: int, n: str = "w") -> str:
+    return f"[array_to_string({n}[i:i+{k - 1}], ' ') FOR i IN range(1, len({n}) - {k - 2})]"
+
+
+SQL: dict[str, str] = {
+    "p1_found": f"""
+WITH t AS (SELECT section_id AS id, {_WORDS.format("coalesce(heading, '') || chr(10) || coalesce(text, '')")} AS w FROM sections),
+g AS (SELECT id, list_distinct({_grams("", 3)}) AS g FROM t WHERE len(w) >= 12),
+n AS (SELECT id, len(g) AS n FROM g), e AS (SELECT id, unnest(g) AS s FROM g),
+c AS (SELECT a.id AS a_id, b.id AS b_id, count(*) AS c FROM e a JOIN e b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
+SELECT a_id, b_id FROM c JOIN n x ON x.id = a_id JOIN n y ON y.id = b_id WHERE c * 2 >= x.n + y.n - c""",
+    "p2_found": """
+WITH c AS (
+  SELECT lower(regexp_replace(session_id, '^\\s+|\\s+$', '', 'g')) AS s, call_id, query, outcome,
+    CASE WHEN "timestamp" < 100000000000 THEN "timestamp" * 1000 ELSE "timestamp" END AS ts
+  FROM calls WHERE coalesce(kind, 'turn') <> 'delegation'),
+r AS (
+  SELECT s, ts, min(call_id) AS call_id, coalesce(regexp_matches(query, '\\S'), false) AS ask, coalesce(regexp_matches(outcome, '\\S'), false) AS reply
+  FROM c WHERE s IN (SELECT id FROM sessions) GROUP BY s, ts, query, outcome),
+m AS (
+  SELECT s, ts, call_id, 1 AS k, 'user' AS role FROM r WHERE ask UNION ALL SELECT s, ts, call_id, 2, 'assistant' FROM r WHERE reply),
+o AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY ts, call_id, k) AS msg_no, count(*) OVER (PARTITION BY s) AS n FROM m),
+bad AS (
+  SELECT s FROM r WHERE NOT ask AND NOT reply
+  UNION SELECT s FROM o WHERE (msg_no % 2 = 1) <> (role = 'user') OR n % 2 = 1)
+SELECT s AS session_id, msg_no, role, call_id FROM o WHERE s NOT IN (SELECT s FROM bad)""",
+    "p6_found": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM eval_items),
+a AS (SELECT DISTINCT doc_id, unnest({_grams("", 12)}) AS s FROM d), b AS (SELECT DISTINCT item_id, unnest({_grams("", 12)}) AS s FROM i)
+SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (s)""",
+    "p8_found": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), g AS (SELECT doc_id, {_grams("", 5)} AS g FROM d WHERE len(w) >= 5)
+SELECT doc_id FROM g WHERE (len(g) - len(list_distinct(g))) * 10 >= 3 * len(g)""",
+}
