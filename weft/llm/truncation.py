@@ -28,6 +28,8 @@ from weft.llm.words import hashed_counts
 
 #: Bins of the word counts, and the most values a model is trained on.
 BINS, TRAIN_VALUES = 1 << 18, 12_000
+#: Weight of a cut clause against a whole one: clauses are short, so limits hardly ever cut them.
+CLAUSE_WEIGHT = 0.15
 
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+|[^\W\d_A-Za-z]+")
 _FULL = re.compile(r"[^\W\d_]+")
@@ -36,7 +38,10 @@ _MORE = re.compile(r"\(\+\d+ more\)$")
 _RESULT = re.compile(r"(?:^|\n)Result: \d+ passed, \d+ failed$")
 _EXIT = re.compile(r"(?:^|\n)exit (?:code )?-?\d+$")
 _CLAUSE = re.compile(r"[^A-Z\n.?!。？！…\"{}][^\n.?!。？！…\"{}]*(?:\.[a-z0-9]{1,5})?")
-_TAIL = re.compile(r"\S+$")
+_CJK = re.compile(r"[぀-ヿ一-鿿]")
+_RUNS = re.compile(r"[a-z]+|[A-Z]+|\d+")
+#: Closing lines and marks are looked for in so many last characters.
+_NEAR = 48
 
 
 def _bin(word: str) -> int:
@@ -88,12 +93,12 @@ def _form(text: str, last: str) -> str:
         return "code"
     if text[:1] in "{[":
         return "json"
-    if re.match(r"[-*] |\d+[.)] ", last):
+    if last[:2] in ("- ", "* ") or last[:1].isdigit() and re.match(r"\d+[.)] ", last):
         body = last.split(" ", 1)[1] if " " in last else ""
         return "item-clause" if body[:1].islower() or body[:1] == "`" else "item"
     if last in ("-", "*"):
         return "item-empty"
-    if ord(text[-1]) > 0x2E7F and text[-1].isalpha() or re.search(r"[぀-ヿ一-鿿]", last[-30:]):
+    if ord(text[-1]) > 0x2E7F and text[-1].isalpha() or _CJK.search(last[-30:]):
         return "cjk"
     if "\n" not in text and len(text) < 80 and _CLAUSE.fullmatch(text) and not text[0].isupper():
         return "clause"
@@ -102,7 +107,19 @@ def _form(text: str, last: str) -> str:
 
 def closed(text: str) -> bool:
     """Whether nothing is left open: quotes, code marks, brackets."""
-    return not (text.count("```") % 2 or text.replace("```", "").count("`") % 2 or text.count('"') % 2 or text.count("{") > text.count("}") or text.count("「") > text.count("」"))
+    return not (text.count("```") % 2 or text.count("`") % 2 or text.count('"') % 2 or text.count("{") > text.count("}") or text.count("「") > text.count("」"))
+
+
+def _ending(t: str) -> str:
+    """A closing line or mark at the end of a value."""
+    e, c = t[-_NEAR:], t[-1]
+    if c == ")" and _MORE.search(e):
+        return "more"
+    if c == "d" and _RESULT.search(e):
+        return "result"
+    if c.isdigit() and _EXIT.search(e):
+        return "exit"
+    return "mark" if c in "….])>" and _MARK.search(e) else "none"
 
 
 def finished(text: str) -> bool:
@@ -110,11 +127,12 @@ def finished(text: str) -> bool:
     t = text.rstrip()
     if not t:
         return True
-    if _MORE.search(t) or _RESULT.search(t) or _EXIT.search(t):
+    end = _ending(t)
+    if end in ("more", "result", "exit"):
         return True
-    if _MARK.search(t) or not closed(t):
+    if end == "mark" or not closed(t):
         return False
-    tail = _TAIL.search(t).group()
+    tail = t[-80:].split()[-1]
     if t[-1] in ".?!" and "/" in tail and tail[-2:-1].isdigit():
         return False  # inside a file name
     return t[-1] in '.?!。？！"}」' or t.endswith("```")
@@ -128,8 +146,8 @@ def features(text: str, chars: list[int], octets: list[int], counts: np.ndarray)
     last = t[t.rfind("\n") + 1 :]
     form, c = _form(t, last), t[-1]
     kind = "a" if c.isalpha() and c.islower() else "A" if c.isupper() else "w" if c.isalpha() else "9" if c.isdigit() else c
-    tail = _TAIL.search(t[-80:]).group()
-    shape = re.sub(r"\d+", "9", re.sub(r"[a-z]+", "a", re.sub(r"[A-Z]+", "A", tail)))[-5:]
+    tail = t[-80:].split()[-1]
+    shape = _RUNS.sub(lambda m: "a" if m.group()[0] > "Z" else "A" if m.group()[0] > "9" else "9", tail[-24:])[-5:]
     done = finished(t)
     parts = _PART.findall(tail)
     word = parts[-1].lower() if parts and (c.isalnum()) else ""
@@ -140,9 +158,9 @@ def features(text: str, chars: list[int], octets: list[int], counts: np.ndarray)
     size, octet = len(text), len(text.encode())
     at = size in chars or any(0 <= b - octet <= 3 for b in octets) and octet != size
     over = next((m for m in chars if size <= m), 0)
-    ends = "more" if _MORE.search(t) else "result" if _RESULT.search(t) else "exit" if _EXIT.search(t) else "mark" if _MARK.search(t) else "none"
+    ends = _ending(t)
     camel = "`" if t.endswith("`") else "id" if re.search(r"[a-z][A-Z]|_", tail) else "path" if "/" in tail else "word"
-    opens = "".join(k for k, v in (("c", t.count("```") % 2), ("t", t.replace("```", "").count("`") % 2), ("q", t.count('"') % 2), ("b", t.count("{") > t.count("}")), ("p", t.count("(") > t.count(")")), ("j", t.count("「") > t.count("」"))) if v)
+    opens = "".join(k for k, v in (("c", t.count("```") % 2), ("t", (t.count("`") - 3 * t.count("```")) % 2), ("q", t.count('"') % 2), ("b", t.count("{") > t.count("}")), ("p", t.count("(") > t.count(")")), ("j", t.count("「") > t.count("」"))) if v)
     f = [
         "bias", f"form={form}", f"last={kind}", f"form,last={form},{kind}", f"done={done}", f"form,done={form},{done}", f"ends={ends}", f"open={opens}", f"open,done={opens},{done}",
         f"known={known}", f"form,known={form},{known}", f"camel,known={camel},{known}", f"shape={shape}", f"at={at}", f"at,done={at},{done}", f"word={word}", f"form,word={form},{word}",
@@ -153,12 +171,25 @@ def features(text: str, chars: list[int], octets: list[int], counts: np.ndarray)
     return f
 
 
-def examples(values: list[tuple[str, list[int], list[int]]], counts: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Negatives and artificially cut positives from ``(text, limits in characters, limits in bytes)``."""
+def _invisible(piece: str, rest: str, counts: np.ndarray) -> bool:
+    """Whether a cut clause reads like a whole one: without its last word, its plural or the last digits of a name."""
+    if not piece[-1].isalnum():
+        return False
+    if not rest[0].isalnum():
+        return len(rest.split()) == 1
+    if piece[-1].isdigit() and rest[0].isdigit():
+        return True
+    parts = _PART.findall(piece)
+    return bool(parts) and not parts[-1].isdigit() and counts[_bin(parts[-1].lower())] >= 30
+
+
+def examples(values: list[tuple[str, list[int], list[int]]], counts: np.ndarray, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Negatives and artificially cut positives, with weights, from ``(text, limits in characters, limits in bytes)``."""
     rng = random.Random(seed)
-    x, y = [], []
+    x, y, weights = [], [], []
 
-    def add(text: str, label: int, at: bool) -> None:
+    def add(text: str, label: int, at: bool, weight: float = 1.0) -> None:
+        weights.append(weight)
         n, m = len(text), len(text.encode())
         x.append(logit.index(features(text, [n] if at and n == m or at and rng.random() < 0.5 else [], [m] if at else [], counts)))
         y.append(label)
@@ -193,11 +224,11 @@ def examples(values: list[tuple[str, list[int], list[int]]], counts: np.ndarray,
                 add(piece, 0, at)
             elif rest[0] == "\n" and clause:
                 continue  # between two entries: nothing to see
-            elif clause and not (piece[-1].isalnum() and rest[0].isalnum()) and len(rest.split()) == 1 and "\n" not in rest and piece[-1:].isalnum():
-                continue  # a clause without its last word may be a clause
+            elif clause and _invisible(piece, rest, counts):
+                continue
             else:
-                add(piece, 1, at)
-    return logit.matrix(x), np.array(y, np.float64)
+                add(piece, 1, at, CLAUSE_WEIGHT if clause else 1.0)
+    return logit.matrix(x), np.array(y, np.float64), np.array(weights)
 
 
 def cut_values(values: DataFrame, train: int = TRAIN_VALUES, threshold: float = 0.5) -> DataFrame:
@@ -217,8 +248,8 @@ def cut_values(values: DataFrame, train: int = TRAIN_VALUES, threshold: float =
     pool = rows.where(F.pmod(F.xxhash64("id", "field"), F.lit(1_000_000)) < int(min(1.0, 1.3 * train / max(n, 1)) * 1_000_000) + 1)
     sample = pool.select("text", "chars", "bytes").orderBy(F.xxhash64("id", "field")).limit(train).collect()
     c = np.frombuffer(counts, np.uint8)
-    x, y = examples([(r.text, list(r.chars), list(r.bytes)) for r in sample], c)
-    w = logit.fit(x, y) if len(y) else np.zeros(logit.DIM, np.float32)
+    x, y, weights = examples([(r.text, list(r.chars), list(r.bytes)) for r in sample], c)
+    w = logit.fit(x, y, weights) if len(y) else np.zeros(logit.DIM, np.float32)
     model = spark.sparkContext.broadcast((w, counts))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
