@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm import conversations, leak, mixing, near, repetition, truncation
+from weft.llm import conversations, leak, mixing, near, personal, repetition, truncation
 from weft.runtime import read_table
 
 # ---------------------------------------------------------------- problem 1
@@ -73,6 +73,26 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
     return once.groupBy("source", "field").agg(F.count("*").alias("n_values"), F.count_if("cut").alias("n_cut"), F.avg(F.col("cut").cast("int")).alias("share_cut"))
 
 
+# ---------------------------------------------------------------- problem 4
+
+
+def _free_texts(spark: SparkSession, d: str) -> DataFrame:
+    """All request, outcome and query texts."""
+    turns = _turn_values(spark, d).select(F.lit("turns").alias("tbl"), "id", "field", "text")
+    calls = read_table(spark, d, "calls").select(F.lit("calls").alias("tbl"), F.col("call_id").alias("id"), F.lit("query").alias("field"), F.col("query").alias("text"))
+    return turns.unionByName(calls)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every mention of personal data with its kind and place."""
+    return personal.found(_free_texts(spark, d), read_table(spark, d, "name_list")).select("tbl", "rec_id", "field", "kind", "start_pos")
+
+
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """The texts with typed placeholders in place of the mentions."""
+    return personal.redact(_free_texts(spark, d), read_table(spark, d, "name_list")).withColumnRenamed("id", "rec_id").distinct()
+
+
 # ---------------------------------------------------------------- problem 6
 
 
@@ -131,7 +151,7 @@ def p8_lines(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_groups, p2_found, p2_unassigned, p3_found, p3_rates, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_shares, p8_lines)
+    for f in (p1_found, p1_groups, p2_found, p2_unassigned, p3_found, p3_rates, p4_found, p4_redacted, p6_found, p6_report, p7_mix, p7_shares, p8_found, p8_shares, p8_lines)
 }
 
 _WORDS = "regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+')"
