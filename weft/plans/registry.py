@@ -2,32 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from weft.plans import q_capture, q_graph, q_text  # noqa: F401
+from weft.plans.base import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-from weft.operators import capture
-from weft.runtime import read_table
-
-
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """The files that the next index run must handle, each once, and whether they are new or changed."""
-    return capture.pending_files(*(read_table(spark, d, t) for t in ("files", "index_runs", "run_items")))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p5_found": p5_found}
-
-SQL: dict[str, str] = {
-    "p5_found": """
-WITH f AS (
-  SELECT id, regexp_replace(replace(path, chr(92), '/'), '^\\./', '') AS p, lower(hash) AS h,
-    row_number() OVER (PARTITION BY regexp_replace(replace(path, chr(92), '/'), '^\\./', '') ORDER BY last_indexed DESC, id DESC) AS k
-  FROM files WHERE hash IS NOT NULL),
-i AS (
-  SELECT regexp_replace(replace(path, chr(92), '/'), '^\\./', '') AS p, lower(hash) AS h,
-    row_number() OVER (PARTITION BY regexp_replace(replace(path, chr(92), '/'), '^\\./', '') ORDER BY run_id DESC, done_at DESC, lower(hash) DESC) AS k
-  FROM run_items WHERE run_id IN (SELECT run_id FROM index_runs WHERE status = 'ok' AND finished_at IS NOT NULL))
-SELECT DISTINCT f.id, CASE WHEN i.p IS NULL THEN 'added' ELSE 'changed' END AS state
-FROM f LEFT JOIN i ON f.p = i.p AND i.k = 1
-WHERE f.k = 1 AND (i.p IS NULL OR i.h IS DISTINCT FROM f.h)"""
-}
+__all__ = ["QUERIES", "SQL"]
