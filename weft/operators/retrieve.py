@@ -73,7 +73,8 @@ def _bm25(docs: DataFrame, terms: Column, query: list[str], k1: float, idf_of, l
     """
     uniq = list(dict.fromkeys(query))
     rows = docs.withColumn("_t", terms).withColumn("_dl", F.size("_t"))
-    tf = {t: F.size(F.filter("_t", lambda x, t=t: x == t)) for t in uniq}
+    count = lambda t: F.size(F.filter("_t", lambda x: x == t))
+    tf = {t: count(t) for t in uniq}
     counted = rows.select("*", *[tf[t].alias(f"_f{i}") for i, t in enumerate(uniq)]).drop("_t")
     base = counted.where(F.col("_dl") >= least_terms)
     s = base.agg(F.count("*").alias("n"), F.avg("_dl").alias("avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(uniq))]).first()
