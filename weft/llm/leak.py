@@ -76,11 +76,19 @@ def _hits(h: np.ndarray, off: np.ndarray, items: _Items, least: int) -> Iterator
         return
     left = np.searchsorted(items.f, f, "left")
     right = np.searchsorted(items.f, f, "right")
+    ends: dict[tuple[int, int, int], int] = {}  # of the last run on a diagonal: hits inside it are the same run
+    whole: set[tuple[int, int]] = set()  # items found from begin to end: no run can be longer
     for i in np.flatnonzero(right > left):
         t, p = int(own[i]), int(at[i])
         for j in range(left[i], right[i]):
             m, q = int(items.own[j]), int(items.at[j])
-            begin, n = _run(h, p, int(off[t]), int(off[t + 1]), items.h, q, int(items.off[m]), int(items.off[m + 1]))
+            if (t, m) in whole or p < ends.get((t, m, p - q), 0):
+                continue
+            lo, hi = int(items.off[m]), int(items.off[m + 1])
+            begin, n = _run(h, p, int(off[t]), int(off[t + 1]), items.h, q, lo, hi)
+            ends[t, m, p - q] = begin + n
+            if n == hi - lo:
+                whole.add((t, m))
             if n >= least:
                 yield t, m, begin - int(off[t]), n
 
