@@ -46,7 +46,7 @@ def attested(runs: DataFrame, items: DataFrame) -> DataFrame:
     """``(path, seen)``: the hash of each path in the latest run that ended well.
 
     A run ended well if its status is ``ok`` and it has a finish time.  If one run holds several
-    hashes of a path, the one handled last counts (then the greatest hash).
+    hashes of a path, the one handled last counts (then the greatest hash); a null hash attests nothing.
     """
     good = runs.where("status = 'ok' AND finished_at IS NOT NULL").select("run_id").distinct()
     good_items = items.where("path IS NOT NULL").join(F.broadcast(good) if _small(good) else good, "run_id", "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
+from weft.runtime import cut
 
 #: The parameters of the two BM25 variants, the blend, and the cap on hits per keyword.
 DOC_K1, RECALL_K1, B = 1.5, 1.2, 0.75
@@ -50,7 +51,7 @@ def tfidf_search(symbols: DataFrame, query: str, n: int = 20) -> DataFrame:
         weight = F.when(F.col("term") == t, F.lit(c / norm)).otherwise(weight)
     sim = w.groupBy("path").agg(F.sum(weight * part).alias("dot"), F.sqrt(F.sum(part * part)).alias("len"))
     scored = sim.where("dot > 0 AND len > 0").select("path", (F.col("dot") / F.col("len")).alias("score"))
-    top = scored.orderBy(F.desc("score"), "path").limit(n)
+    top = cut(scored.orderBy(F.desc("score"), "path").limit(n), "tfidf")
     if not q or not top.isEmpty():
         return top
     low = F.lower("name")

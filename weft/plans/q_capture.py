@@ -17,9 +17,9 @@ WITH f AS (
 i AS (
   SELECT {_PATH} AS p, lower(hash) AS h, row_number() OVER (PARTITION BY {_PATH} ORDER BY run_id DESC, done_at DESC, lower(hash) DESC) AS k
   FROM run_items WHERE run_id IN (SELECT run_id FROM index_runs WHERE status = 'ok' AND finished_at IS NOT NULL))
-SELECT DISTINCT f.id, CASE WHEN i.p IS NULL THEN 'added' ELSE 'changed' END AS state
+SELECT DISTINCT f.id, CASE WHEN i.h IS NULL THEN 'added' ELSE 'changed' END AS state
 FROM f LEFT JOIN i ON f.p = i.p AND i.k = 1
-WHERE f.k = 1 AND (i.p IS NULL OR i.h IS DISTINCT FROM f.h)""")
+WHERE f.k = 1 AND i.h IS DISTINCT FROM f.h""")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The files that the next index run must handle, each once, and whether they are new or changed."""
     return capture.pending_files(*(read_table(spark, d, t) for t in ("files", "index_runs", "run_items")))
