@@ -57,8 +57,9 @@ def recall(calls: DataFrame, query: str, now_ms: int, limit: int | None = 20) ->
         out = calls.select("call_id", "timestamp", F.lit(0).alias("grp"), F.lit(0.0).alias("score")).orderBy(*newest)
         return (out.limit(limit) if limit else out).select("call_id", "grp", "score")
     text = F.concat_ws("\n", "query", "outcome", F.when(F.size("files") > 0, F.array_join("files", "\n")))
-    scored = bm25_recall(calls.select("call_id", "timestamp", "query", "outcome", text.alias("text")), q)
     hit = F.coalesce(F.lower("query").contains(q), F.lit(False)) | F.coalesce(F.lower("outcome").contains(q), F.lit(False))
+    scored = bm25_recall(calls.select("call_id", "timestamp", hit.alias("hit"), text.alias("text")), q)
+    hit = F.col("hit")
     age = F.greatest(F.lit(now_ms) - F.col("timestamp"), F.lit(0)) / DAY_MS
     s = scored.select("call_id", "timestamp", F.when(hit, 0).otherwise(1).alias("grp"), F.when(hit, 0.0).otherwise(F.col("score") * T.recency(age)).alias("score")).where("grp = 0 OR score > 0")
     order = ["grp", F.desc(F.when(F.col("grp") == 0, F.col("timestamp"))), F.desc(F.round("score", 12)), "call_id"]

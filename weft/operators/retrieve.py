@@ -68,16 +68,18 @@ def tokens(query: str) -> list[str]:
 
 
 def _bm25(docs: DataFrame, terms: Column, query: list[str], k1: float, idf_of, least_terms: int) -> DataFrame:
-    """``docs`` with ``score``: one pass for the statistics (as many numbers as query terms), one for the scores.
+    """``docs`` without ``text``, with ``score``.
 
-    Term frequencies are counted inside each row, so no term table is shuffled.
+    Term frequencies are counted inside each row, so no term table is shuffled; the counts (as many numbers per row as
+    query terms) are kept in a table, from which statistics and scores are taken.
     """
     uniq = list(dict.fromkeys(query))
     rows = docs.withColumn("_t", terms).withColumn("_dl", F.size("_t"))
     count = lambda t: F.size(F.filter("_t", lambda x: x == t))
     tf = {t: count(t) for t in uniq}
-    counted = rows.select("*", *[tf[t].alias(f"_f{i}") for i, t in enumerate(uniq)]).drop("_t")
-    base = counted.where(F.col("_dl") >= least_terms)
+    kept = [c for c in docs.columns if c != "text"]
+    counted = rows.select(*kept, "_dl", *[tf[t].alias(f"_f{i}") for i, t in enumerate(uniq)])
+    base = cut(counted.where(F.col("_dl") >= least_terms), "counted")
     s = base.agg(F.count("*").alias("n"), F.avg("_dl").alias("avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"d{i}") for i in range(len(uniq))]).first()
     n, avg = s["n"], s["avg"] or 1.0
     score = F.lit(0.0)

@@ -50,9 +50,20 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _local[sc.applicationId]
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The application's part of the shared folder."""
+    return f"{shared_dir(spark)}/weft-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/weft/{label}-{uuid.uuid4().hex}"
+    """A fresh path below the application's folder."""
+    return f"{own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the tables this application has cut; results must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, label: str = "table") -> DataFrame:
@@ -67,6 +78,22 @@ def cut(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables below so many bytes are not worth a shuffle.
+SPREAD_FROM = 1 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is a scan of fewer splits than there are cores, as single small files are.
+
+    Tables of a cluster's size have more splits than cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    plan = df._jdf.queryExecution()
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) < SPREAD_FROM or plan.toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
