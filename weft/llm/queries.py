@@ -190,4 +190,20 @@ SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (s)""",
     "p8_found": f"""
 WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), g AS (SELECT doc_id, {_grams("", 5)} AS g FROM d WHERE len(w) >= 5)
 SELECT doc_id FROM g WHERE (len(g) - len(list_distinct(g))) * 10 >= 3 * len(g)""",
+    "p1_groups": f"""
+WITH RECURSIVE t AS (SELECT section_id AS id, {_WORDS.format("coalesce(heading, '') || chr(10) || coalesce(text, '')")} AS w FROM sections),
+c AS (SELECT id, min(id) OVER (PARTITION BY w) AS cls, w FROM t WHERE len(w) >= 12),
+g AS (SELECT id, list_distinct({_grams("", 3)}) AS g FROM c WHERE id = cls), n AS (SELECT id, len(g) AS n FROM g), e AS (SELECT id, unnest(g) AS s FROM g),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM e a JOIN e b ON a.s = b.s AND a.id <> b.id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c * 2 >= x.n + y.n - c),
+r(id, grp) AS (SELECT id, id FROM n UNION SELECT l.b, r.grp FROM r JOIN l ON l.a = r.id), m AS (SELECT id, min(grp) AS grp FROM r GROUP BY 1), k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT c.id AS section_id, c.cls AS class_id, m.grp AS group_id, coalesce(k.n, 0) AS n_links FROM c JOIN m ON m.id = c.cls LEFT JOIN k ON k.a = c.cls""",
+    "p8_lines": """
+WITH d AS (SELECT doc_id, lower(regexp_replace(source, '^\\s+|\\s+$', '', 'g')) AS host, text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, host, trim(regexp_replace(unnest(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10))), '[\\s\\x{a0}\\x{2000}-\\x{200a}\\x{3000}]+', ' ', 'g')) AS line FROM d),
+k AS (SELECT doc_id, host, line, lower(line) AS h FROM l WHERE line <> ''), s AS (SELECT host, count(DISTINCT doc_id) AS n FROM d GROUP BY 1),
+f AS (SELECT k.host, h, count(DISTINCT doc_id) AS c FROM k GROUP BY 1, 2), b AS (SELECT f.host, h FROM f JOIN s ON f.host IS NOT DISTINCT FROM s.host WHERE c > 20 AND c > 0.01 * n)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE b.h IS NOT NULL) AS removed, sum(CASE WHEN b.h IS NULL THEN length(line) ELSE 0 END) / sum(length(line)) AS left_share,
+  sum(CASE WHEN b.h IS NULL THEN length(line) ELSE 0 END) / sum(length(line)) < 0.5 AS rejected
+FROM k LEFT JOIN b ON b.h = k.h AND b.host IS NOT DISTINCT FROM k.host GROUP BY 1""",
 }
