@@ -179,3 +179,43 @@ def office_symbols(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["path", "name", "kind", "line", "signature"])
 
     return files.select("path", "content").mapInPandas(run, "path string, " + OFFICE)
+
+
+def pdf_symbols(files: DataFrame) -> DataFrame:
+    """One symbol per page of ``binaryFile`` rows (path, content), the first with a preview of the text shown by Tj, ', " and TJ.
+
+    Only plain and deflated content streams with literal strings are read; anything else gives pages without a preview, broken files nothing.
+    """
+    import re
+    import zlib
+
+    import pandas as pd
+
+    stream = re.compile(rb"stream\r?\n(.*?)\r?\nendstream", re.S)
+    shown = re.compile(rb"\[((?:\\.|[^\]\\])*)\]\s*TJ|\(((?:\\.|[^()\\])*)\)\s*(?:Tj|'|\")", re.S)
+    literal = re.compile(rb"\(((?:\\.|[^()\\])*)\)", re.S)
+
+    def text_of(content: bytes) -> str:
+        out = []
+        for s in stream.findall(content):
+            try:
+                s = zlib.decompress(s)
+            except zlib.error:
+                pass
+            for array, one in shown.findall(s):
+                parts = literal.findall(array) if array else [one]
+                out.append(b"".join(re.sub(rb"\\(.)", rb"\1", p, flags=re.S) for p in parts).decode("latin-1"))
+        return " ".join(out)
+
+    def run(frames):
+        for f in frames:
+            rows = []
+            for p, c in zip(f.path, f.content):
+                c = bytes(c) if c is not None else b""
+                if c.startswith(b"%PDF"):
+                    t = text_of(c)
+                    pages = len(re.findall(rb"/Type\s*/Page(?![s\w])", c))
+                    rows += [(p, f"Page {i + 1}", "module", i + 1, (t[:200] + "..." if len(t) > 200 else t) if i == 0 else None) for i in range(pages)]
+            yield pd.DataFrame(rows, columns=["path", "name", "kind", "line", "signature"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, " + OFFICE)
