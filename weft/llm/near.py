@@ -104,6 +104,26 @@ def meeting_pairs(prints: DataFrame) -> DataFrame:
     return x.join(y, "v").where("a < b").select("a", "b").distinct()
 
 
+def among(rows: DataFrame, ids: DataFrame, bins: int = BINS) -> DataFrame:
+    """The rows of ``rows(id, text)`` whose id may occur in ``ids(id)``: a filter before a shuffle, never one that loses a row.
+
+    The ids are marked in a bitmap of a fixed size (bins / 8 bytes), which is what the executors get.
+    """
+
+    def places(b: pa.RecordBatch) -> np.ndarray:
+        return (mix(b.column("id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) & np.uint64(bins - 1)).astype(np.int64)
+
+    seen = rows.sparkSession.sparkContext.broadcast(np.packbits(hashed_counts(ids.select("id"), bins, places) > 0).tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.frombuffer(seen.value, np.uint8)
+        for b in batches:
+            at = places(b)
+            yield b.filter(pa.array(((flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)))
+
+    return rows.select("id", "text").mapInArrow(run, "id long, text string")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
     """``(a, b, similarity)`` of the pairs whose sets of k-word sequences have a Jaccard similarity of at least ``least``."""
     a = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
@@ -149,7 +169,9 @@ def near_duplicates(df: DataFrame, k: int = 5, least: float = 0.8, least_words:
     ids = prints.select("id", "cls")
     members = ids.join(ids.groupBy("cls").agg(F.min("id").alias("cls_id")), "cls").select("id", "cls_id").distinct()
     pairs = meeting_pairs(prints.groupBy("cls").agg(F.min("id").alias("id"), F.first("print").alias("print")).select("id", "print"))
-    return members, verified(pairs, df, k, least)
+    pairs = cut(pairs, "pairs")
+    texts = among(df, pairs.select(F.explode(F.array("a", "b")).alias("id")), bins)
+    return members, verified(pairs, texts, k, least)
 
 
 def expanded(members: DataFrame, links: DataFrame, most: int = 1000) -> DataFrame:
