@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 from weft.operators.prefix import chunked, running_total
 from weft.runtime import cut
 
+#: Tokens of a block and slots of an output shard; large corpora take larger blocks.
 BLOCK, SLOTS = 64, 4096
+#: Below this part of what the next source allows, a source no longer limits the size of the mix.
+STARVED = 0.25
 TOKENIZERS = "/opt/tokenizers"
 #: The split pattern that belongs to the public byte-level vocabulary (fixed value).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -74,37 +77,35 @@ def permuted(i: np.ndarray, n: np.ndarray | int, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def plan(sources: pd.DataFrame, total: int | None, slots: int, seed: int) -> pd.DataFrame:
-    """Adds to ``sources(source, target_share, max_repeats, blocks)`` the drawable blocks and the weights.
+def plan(sources: pd.DataFrame, total: int | None = None, block: int = BLOCK, starved: float = STARVED) -> pd.DataFrame:
+    """Adds ``cap``, ``weight`` and ``draws`` (in blocks) to ``sources(source, target_share, max_repeats, blocks)``.
 
-    ``weight`` is the target share over the sources that have a block.  Without ``total`` (in tokens)
-    the mix is the largest in which every such source can reach its weight within its cap.
+    ``weight`` is the target share over the sources that have a block.  Without ``total`` (in tokens) the mix is the largest in
+    which these sources reach their weights within their caps, with room for the spread of the draw.  A source that alone would
+    shrink the mix to less than ``starved`` of what the next one allows doesn't limit it: it gives all it can.  What a source
+    can't give within its cap goes to the others by their weights.
     """
     s = sources.copy()
     s["cap"] = s.blocks * s.max_repeats.clip(lower=0)
     live = (s.cap > 0) & (s.target_share > 0)
     s["weight"] = np.where(live, s.target_share, 0.0)
     s["weight"] = s.weight / s.weight.sum() if live.any() else 0.0
-    most = int((s.cap[live] / s.weight[live]).min()) if live.any() else 0
-    s["slots"] = most if total is None else min(int(total // BLOCK), int(s.cap[live].sum()) if live.any() else 0)
-    return s
-
-
-def draw(s: pd.DataFrame, slots: int = SLOTS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Total draws per source after capping, and the expected rate per slot; see :func:`shard_counts`."""
-    want = s.weight.to_numpy() * int(s.slots.max() if len(s) else 0)
-    cap = s.cap.to_numpy().astype(np.float64)
-    w, left, got = s.weight.to_numpy().copy(), float(want.sum()), np.zeros(len(s))
-    for _ in range(len(s) + 1):  # fill up: what capped sources can't give goes to the others
+    cap, w = s.cap.to_numpy(np.float64), s.weight.to_numpy(np.float64)
+    reach = sorted(max(c - 3 * np.sqrt(c), c / 2) / x for c, x in zip(cap, w) if x > 0)
+    while len(reach) > 1 and reach[0] < starved * reach[1]:
+        reach.pop(0)
+    most = (reach[0] if reach else 0.0) if total is None else min(total // block, cap[live].sum())
+    left, got = float(int(most)), np.zeros(len(s))
+    for _ in range(len(s) + 1):
         room = cap - got
-        live = (w > 0) & (room > 1e-9)
-        if left < 1e-6 or not live.any():
+        able = (w > 0) & (room > 1e-9)
+        if left < 1e-6 or not able.any():
             break
-        give = np.where(live, w / w[live].sum() * left, 0.0)
-        take = np.minimum(give, room)
+        take = np.minimum(np.where(able, w / w[able].sum() * left, 0.0), room)
         got += take
         left -= take.sum()
-    return got, got / max(got.sum(), 1)
+    s["draws"] = got
+    return s
 
 
 def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, block: int = BLOCK, slots: int = SLOTS, folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
@@ -128,10 +129,10 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     have = placed.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens_available")).toPandas()
     s = goal.merge(have, on="source", how="left").fillna({"docs": 0, "tokens_available": 0})
     s["blocks"] = (s.tokens_available // block).astype(int)  # the stream's last, shorter piece is left out
-    s = plan(s, total_tokens, slots, seed)
-    draws, rate = draw(s, slots, seed)
-    cap = s.cap.to_numpy().astype(np.int64)
+    s = plan(s, total_tokens, block)
+    cap, draws = s.cap.to_numpy().astype(np.int64), s.draws.to_numpy(np.float64)
     n_slots = int(round(draws.sum()))
+    rate = draws / max(draws.sum(), 1)
     n_shards = -(-n_slots // slots)
     names, n_blocks = s.source.tolist(), s.blocks.to_numpy().astype(np.int64)
 
