@@ -73,3 +73,12 @@ def latest_activity(*stores: DataFrame) -> DataFrame:
         one = s.agg(F.max("timestamp").alias("latest"))
         out = one if out is None else out.unionByName(one)
     return out.agg(F.max("latest").alias("latest"))
+
+
+def symbol(nodes: DataFrame, files: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """All symbols of a name, in one file if ``path`` is indexed; an unknown path falls back to all files."""
+    hits = nodes.where(F.col("name") == name)
+    if path is None:
+        return hits
+    own = files.where(F.col("path") == path).select(F.col("id").alias("file_id"))
+    return hits if own.isEmpty() else hits.join(own, "file_id", "left_semi")

@@ -31,6 +31,15 @@ def f03_f04_exact_exported(spark: SparkSession, d: str) -> DataFrame:
     return nodes(spark, d).where("name = 'blue rod' AND is_exported").select("id", "file_id", "name")
 
 
+@query(GRAPH + "SELECT id, file_id, line FROM nodes WHERE name = 'blue rod' AND file_id = 'Brand#11' UNION ALL SELECT -id, file_id, line FROM nodes WHERE name = 'blue rod'")
+def e14_symbol(spark: SparkSession, d: str) -> DataFrame:
+    """In one file, and in all for an unknown one (negative ids)."""
+    n = nodes(spark, d)
+    f = n.select(F.col("file_id").alias("id"), F.col("file_id").alias("path")).distinct()
+    one, every = overview.symbol(n, f, "blue rod", "Brand#11"), overview.symbol(n, f, "blue rod", "no such file")
+    return one.select("id", "file_id", "line").unionByName(every.select((-F.col("id")).alias("id"), "file_id", "line"))
+
+
 @query("SELECT 'core/folder/' AS prefix, bool_or(starts_with(path, 'core/folder/')) AS found FROM files")
 def f05_prefix_exists(spark: SparkSession, d: str) -> DataFrame:
     hit = not read_table(spark, d, "files").where(F.col("path").startswith("core/folder/")).limit(1).isEmpty()

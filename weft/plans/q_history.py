@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weft.functions import text as T
 from weft.operators import history
 from weft.plans.base import CALLS_SQL, calls, query
 from weft.runtime import cut, new_path, read_table
@@ -66,6 +67,24 @@ def k15_compact_folded(spark: SparkSession, d: str) -> DataFrame:
     return history.folded(calls(spark, d), _NOW, 90).select("call_id", "query", "outcome")
 
 
+@query("SELECT turn_no, source, nullif(trim(trim(request, E' \\n\\r\\t') || chr(10) || coalesce(outcome, ''), E' \\n\\r\\t'), '') AS text FROM turns")
+def x32_content_text(spark: SparkSession, d: str) -> DataFrame:
+    """X32 over all turns as transcript messages: two text blocks around a reminder and a tool call."""
+    t = read_table(spark, d, "turns")
+    block = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    content = F.to_json(F.array(block("text", T.trim(F.col("request"))), block("text", F.lit("<system-reminder>x</system-reminder>")), block("tool_use", F.lit("no")), block("text", F.coalesce("outcome", F.lit("")))))
+    return t.select("turn_no", "source", T.content_text(content).alias("text"))
+
+
+@query(f"WITH {CALLS_SQL} SELECT call_id FROM calls1 WHERE call_id % 3 <> 0 UNION SELECT call_id FROM calls1 WHERE call_id % 2 = 0")
+def k09_merge_spill(spark: SparkSession, d: str) -> DataFrame:
+    """History and what was written aside, overlapping in part."""
+    from weft.sources.store import merge_spill
+
+    c = calls(spark, d).select("call_id", "session_id", "query")
+    return merge_spill(c.where("call_id % 3 <> 0"), c.where("call_id % 2 = 0")).select("call_id")
+
+
 def _messages(spark, d):
     c = calls(spark, d).where("session_id IS NOT NULL")
     said = F.inline(F.array(F.struct(F.lit("user").alias("role"), F.col("query").alias("text"), (F.col("call_id") * 2).alias("pos")), F.struct(F.lit("assistant").alias("role"), F.col("outcome").alias("text"), (F.col("call_id") * 2 + 1).alias("pos"))))
