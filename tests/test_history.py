@@ -150,6 +150,28 @@ def test_streams_equal_batches(spark, rows):
     assert rows(events.branch_changes(polls), "before", "ref") == [("f", "m"), ("m", "f")]
 
 
+def test_backup_and_listings(spark, rows):
+    path = new_path(spark, "kept")
+    assert store.backup(spark, path, 5) is None
+    spark.range(3).write.parquet(path)
+    to = store.backup(spark, path, 5)
+    assert spark.read.parquet(to).count() == 3
+    spark.range(1).write.parquet(path)
+    with pytest.raises(RuntimeError):
+        store.backup(spark, path, 5)
+    assert corpus.changed_paths("a/b\0c d\0") == ["a/b", "c d"]
+    for bad in ("-x", "a\nb", ""):
+        with pytest.raises(ValueError):
+            corpus.changed_paths("", bad)
+
+
+def test_token_counts(spark, rows):
+    from weft.functions.tokens import count_tokens, encoding
+
+    df = spark.createDataFrame([("Hello world",), (None,), ("",), ("日本 <|endoftext|>",)], "s string")
+    assert rows(df.select("s", count_tokens(F.col("s")).alias("n"))) == sorted(((s, len(encoding().encode_ordinary(s)) if s else 0) for s in ("Hello world", None, "", "日本 <|endoftext|>")), key=lambda r: (r[0] is not None, r[0]))
+
+
 def test_shared_folder(spark):
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == named if named else shared_dir(spark).startswith("file:///")

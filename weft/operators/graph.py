@@ -25,6 +25,16 @@ def neighbours(edges: DataFrame, nodes: DataFrame, incoming: bool) -> DataFrame:
     return edges.select(F.col(near).alias("id"), F.col(far).alias("other_id"), "kind").join(other, "other_id").select("id", "other_id", "other_name", "kind")
 
 
+def dependencies(edges: DataFrame, nodes: DataFrame, name: str, direction: str) -> DataFrame:
+    """The neighbours of all symbols of a name; ``direction`` is ``in`` or ``out``."""
+    if not name:
+        raise ValueError("a name is required")
+    if direction not in ("in", "out"):
+        raise ValueError("direction must be in or out")
+    ids = nodes.where(F.col("name") == name).select("id")
+    return neighbours(edges, nodes, direction == "in").join(ids, "id", "left_semi")
+
+
 def file_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges between different files, counted by pair: ``(from_file, to_file, n)``.
 

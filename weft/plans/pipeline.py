@@ -63,7 +63,7 @@ def candidates_for(files: DataFrame, symbols: DataFrame, task: str) -> DataFrame
 
 
 def run_pipeline(files: DataFrame, task: str, max_tokens: int = B.DEFAULT_BUDGET, changed: DataFrame | None = None, level_rules: DataFrame | None = None, level: int | None = None) -> DataFrame:
-    """``(rank, path, score, level, tokens)`` of the files that fit the budget, best first.
+    """``(rank, path, score, level, tokens)`` of the files that fit the budget, best first.
 
     Files without a text have no symbols and never come out.  ``level`` overrides the chosen compression, ``level_rules``
     overrides it by path.  A blank task gives no rows.

@@ -66,6 +66,12 @@ def j03_dependents(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbours(edges(spark, d), nodes(spark, d), incoming=True)
 
 
+@query(GRAPH + "SELECT e.to_id AS id, e.from_id AS other_id, n.name AS other_name, e.kind FROM edges e JOIN nodes n ON n.id = e.from_id WHERE e.to_id IN (SELECT id FROM nodes WHERE name = 'blue rod')")
+def e15_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    """E15."""
+    return graph.dependencies(edges(spark, d), nodes(spark, d), "blue rod", "in")
+
+
 @query(GRAPH + "SELECT DISTINCT b.file_id AS callee, a.file_id AS caller FROM edges e JOIN nodes a ON a.id = e.from_id JOIN nodes b ON b.id = e.to_id WHERE a.file_id <> b.file_id")
 def j04_file_dependents(spark: SparkSession, d: str) -> DataFrame:
     """J4, U2."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.functions import paths, text as T
+from weft.functions.tokens import count_tokens
 from weft.operators import budget
 from weft.plans.base import docs, files, query
 from weft.runtime import read_table
@@ -129,6 +130,12 @@ def x17_x18_estimates(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "files").select("id", "path", base.alias("base"), budget.estimate(base, 1).alias("level_1"), budget.estimate(base, 2).alias("level_2"))
 
 
+@query()
+def x19_count_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """X19 with a public vocabulary."""
+    return read_table(spark, d, "documents").select("doc_id", count_tokens(F.col("text")).alias("tokens"))
+
+
 @query("SELECT call_id, CASE WHEN tokens > 0 THEN round_even(((tokens - tokens // 3)::DOUBLE * 100 / tokens)::FLOAT::DOUBLE, 0)::BIGINT || '%' ELSE '0%' END AS savings, printf('$%d.%02d', round(tokens * 15 / 10000)::BIGINT // 100, round(tokens * 15 / 10000)::BIGINT % 100) AS cost FROM calls")
 def x20_x21_savings_cost(spark: SparkSession, d: str) -> DataFrame:
     t = read_table(spark, d, "calls")

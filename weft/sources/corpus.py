@@ -27,6 +27,16 @@ def scan(spark: SparkSession, root: str, history: str | None = None, exclude: li
     return out.withColumn("language", paths.language_of(F.col("path")))
 
 
+def changed_paths(listing: str, ref: str = "HEAD~1") -> list[str]:
+    """The paths of a NUL-separated listing of a version-control diff against ``ref``; the engine itself runs no process.
+
+    A ref that begins with ``-`` or holds a control character is refused, as whoever makes the listing passes it to a command.
+    """
+    if not ref or ref.startswith("-") or any(ord(c) < 32 or ord(c) == 127 for c in ref):
+        raise ValueError("not a ref")
+    return [p for p in listing.split("\0") if p]
+
+
 def changed(now: DataFrame, before: DataFrame) -> DataFrame:
     """Rows of ``now(path, hash)`` that are new or have another hash; an anti-join on both."""
     return now.join(before.select("path", "hash").distinct(), ["path", "hash"], "left_anti")

@@ -53,3 +53,15 @@ def doctor(spark: SparkSession, path: str) -> DataFrame:
     """One row ``(good, bad)`` of a history file."""
     good, bad = read_history(spark, path)
     return good.agg(F.count("*").alias("good")).join(bad.agg(F.count("*").alias("bad")))
+
+
+def backup(spark: SparkSession, path: str, stamp_ms: int) -> str | None:
+    """Move a table aside under the time in ms, so that a rewrite never overwrites an older copy; None if there is none."""
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(of(path)):
+        return None
+    to = f"{path.rstrip('/')}.bak-{stamp_ms}"
+    if fs.exists(of(to)) or not fs.rename(of(path), of(to)):
+        raise RuntimeError(f"{to} can't be made")
+    return to
