@@ -14,9 +14,7 @@
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -24,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weft.functions.tokens import FOLDER as TOKENIZERS
+from weft.functions.tokens import encoding
 from weft.operators.prefix import chunked, running_total
 from weft.runtime import cut
 
@@ -31,18 +31,6 @@ from weft.runtime import cut
 BLOCK, SLOTS = 64, 4096
 #: Below this part of what the next source allows, a source no longer limits the size of the mix.
 STARVED = 0.25
-TOKENIZERS = "/opt/tokenizers"
-#: The split pattern that belongs to the public byte-level vocabulary (fixed value).
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-
-def encoding(folder: str = TOKENIZERS, name: str = "byte_bpe_50k.tiktoken"):
-    """The public byte-level BPE of 50,256 tokens, read from its vocabulary file."""
-    import tiktoken
-
-    lines = Path(folder, name).read_bytes().splitlines()
-    ranks = {base64.b64decode(t): int(r) for t, r in (x.split() for x in lines if x)}
-    return tiktoken.Encoding("public_byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
