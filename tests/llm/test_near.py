@@ -91,3 +91,19 @@ def test_awkward_rows(spark, rows):
     assert rows(links, "a", "b")[0] == (6, 7)
     empty = near.near_duplicates(df.limit(0), bins=1 << 16)
     assert rows(empty[0]) == [] and rows(near.expanded(*empty)) == []
+
+
+def test_large_family_loses_no_pair(spark):
+    rng = random.Random(5)
+    base = [f"t{i}" for i in range(80)]
+    texts = [(0, " ".join(base))]
+    for i in range(1, 301):
+        w = list(base)
+        for j in rng.sample(range(80), 3):
+            w[j] = f"e{i}x{j}"
+        texts.append((i, " ".join(w)))
+    df = spark.createDataFrame(texts, "id long, text string")
+    members, links = near.near_duplicates(df, k=3, least=0.5)
+    want = brute(texts, 3, 0.5, 12)
+    assert len(want) > 44_000 and {(0, i) for i in range(1, 301)} <= want
+    assert {(r.a, r.b) for r in near.expanded(members, links).collect()} == want

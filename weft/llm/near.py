@@ -1,20 +1,23 @@
-"""Problem 1: near-duplicate records with small edits, by meet-in-the-middle ball hashing.
+"""Problem 1: near-duplicate records with small edits, by meeting in an exact prefix.
 
-*Fingerprint.*  A record's fingerprint is the set of its ``SIZE`` = 8 smallest shingle hashes
-(a bottom-k sketch).  The metric is the symmetric difference: an edit removes some elements and
-adds others.  Two fingerprints within radius 2r (r = ``HALF`` = 6) have r removals on either
-side, so each side walks half the way: it emits *all* variants that lie r removals away (the
-C(8, 2) = 28 pairs of its elements) and fingerprints within the radius meet in a common
-variant, their shared core.  At a Jaccard similarity of 0.5 an element is shared with
-probability about 2/3, so fewer than two of eight are shared in about 0.3 % of such pairs.
+*Fingerprint.*  All shingles of a corpus stand in one order: by how often they occur (counted in a
+fixed number of hashed bins, told apart up to ``FREQUENT``), then by hash.  A record of n shingles
+that shares at least a part s of its union with another one shares at least s n of its own; so two
+such records have a common element among the first n - ceil(s n) + 1 of either, whatever the order
+is.  These first elements are the fingerprint, and records meet in each of its elements.  *No pair
+is lost*: not in a family of any size, not among records of one or two shingles.  The order only
+says how many pairs meet in vain: rare shingles come first, so a phrase that thousands of records
+have is in the fingerprint of those only of which it makes up a large part.
 
-*Frequent shingles* ("why does the") would make variants that thousands of records emit.  All
-shingles are counted first in a fixed number of hashed bins; those in bins above ``FREQUENT``
-are taken into a fingerprint only after all rarer ones.  Nothing is dropped: a record without
-enough rare shingles is filled up with frequent ones.
+This takes the place of ball hashing on the 8 smallest hashes, whose half-radius variants are either
+too common (a phrase) or, with frequent shingles last, lose families of more than ``FREQUENT`` copies.
+
+*Filters.*  An element in a bin of count 1 can meet nothing and isn't emitted.  Where two records
+meet, their sizes and the places of the element bound what they can share; a pair must reach the
+similarity by that bound in one of its meetings (it does in its first, if it is a case).
 
 *Copies* are folded first: records with the same word sequence form a class and only its
-representative emits variants.  *Verification* is exact: colliding pairs are deduplicated, and
+representative emits elements.  *Verification* is exact: colliding pairs are deduplicated, and
 the two texts compared by their sets of shingles.
 """
 
@@ -31,36 +34,37 @@ from pyspark.sql import functions as F
 from weft.llm.words import Hasher, flat, hashed_counts, mix, shingles, words
 from weft.runtime import cut
 
-SIZE, HALF = 8, 6
-#: Bins for the counts of shingles (one byte each) and the count above which a bin is frequent.
+#: Bins for the counts of shingles (one byte each) and the count above which bins are no longer told apart.
 BINS, FREQUENT = 1 << 23, 64
-#: Variants are shuffled as 40-bit hashes: the zero bytes compress, a chance collision costs one comparison.
-VARIANT = (1 << 40) - 1
+#: Elements are shuffled as 40-bit hashes: the zero bytes compress, a chance collision costs one comparison.
+ELEMENT = (1 << 40) - 1
 
 
 def _texts(b: pa.RecordBatch) -> list[list[bytes]]:
     return [words(t) if t else [] for t in b.column("text").to_pylist()]
 
 
-def frequent_bins(df: DataFrame, k: int, bins: int = BINS, frequent: int = FREQUENT) -> bytes:
-    """A bitmap (bins / 8 bytes) of the bins whose shingles occur more than ``frequent`` times in all of ``df.text``."""
+def shingle_counts(df: DataFrame, k: int, bins: int = BINS) -> np.ndarray:
+    """How often the shingles of each bin occur in all of ``df.text``, up to 255 (``bins`` bytes)."""
 
     def bin_ids(b: pa.RecordBatch) -> np.ndarray:
         h, off = flat(_texts(b), Hasher())
         return (shingles(h, off, k)[0] & np.uint64(bins - 1)).astype(np.int64)
 
-    return np.packbits(hashed_counts(df.select("text"), bins, bin_ids) > frequent).tobytes()
+    return hashed_counts(df.select("text"), bins, bin_ids)
 
 
-def fingerprints(df: DataFrame, k: int, least_words: int, bins: int = BINS, frequent: int = FREQUENT) -> DataFrame:
-    """``(id, cls, print)`` of each record of ``df(id, text)`` with at least ``least_words`` words.
+def fingerprints(df: DataFrame, k: int, least: float, least_words: int, bins: int = BINS, frequent: int = FREQUENT) -> DataFrame:
+    """``(id, cls, size, skip, print)`` of each record of ``df(id, text)`` with at least ``least_words`` words.
 
-    ``cls`` is a 128-bit hash of the word sequence, ``print`` the sorted fingerprint.
+    ``cls`` is a 128-bit hash of the word sequence, ``size`` the number of different shingles,
+    ``print`` the first of them in order as far as a similarity of ``least`` needs, without the
+    first ``skip``, which no other record has.
     """
-    common = df.sparkSession.sparkContext.broadcast(frequent_bins(df, k, bins, frequent))  # bins / 8 bytes
+    counted = df.sparkSession.sparkContext.broadcast(shingle_counts(df, k, bins).tobytes())  # bins bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags, hasher = np.frombuffer(common.value, np.uint8), Hasher()
+        counts, hasher = np.frombuffer(counted.value, np.uint8), Hasher()
         for b in batches:
             ids = b.column("id").to_numpy(zero_copy_only=False)
             lists = _texts(b)
@@ -68,40 +72,44 @@ def fingerprints(df: DataFrame, k: int, least_words: int, bins: int = BINS, freq
             lists = [lists[i] for i in keep]
             h, off = flat(lists, hasher)
             g, own = shingles(h, off, k)
-            at = (g & np.uint64(bins - 1)).astype(np.int64)
-            hot = (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            rank = (mix(g + np.uint64(1)) >> np.uint64(2)) | (hot.astype(np.uint64) << np.uint64(62))
+            n = np.minimum(counts[(g & np.uint64(bins - 1)).astype(np.int64)].astype(np.uint64), np.uint64(frequent + 1))
+            rank = (mix(g + np.uint64(1)) >> np.uint64(10)) | (n << np.uint64(54))
             order = np.lexsort((rank, own))
             rank, own = rank[order], own[order]
             first = np.ones(len(rank), bool)
             first[1:] = (rank[1:] != rank[:-1]) | (own[1:] != own[:-1])
             rank, own = rank[first], own[first]
+            size = np.bincount(own, minlength=len(lists))
             begin = np.searchsorted(own, np.arange(len(lists)))
-            low = np.arange(len(own)) - begin[own] < SIZE
-            n = np.bincount(own[low], minlength=len(lists))
+            low = np.arange(len(own)) - begin[own] <= (size - np.ceil(size * least - 1e-9).astype(np.int64))[own]
+            alone = rank >> np.uint64(54) <= 1
+            skip = np.bincount(own[alone], minlength=len(lists))
+            low &= ~alone
             offs = np.zeros(len(lists) + 1, np.int32)
-            np.cumsum(n, out=offs[1:])
+            np.cumsum(np.bincount(own[low], minlength=len(lists)), out=offs[1:])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[keep], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(b" ".join(x)) for x in lists], pa.binary()),
+                    pa.array(size, pa.int32()),
+                    pa.array(skip, pa.int32()),
                     pa.ListArray.from_arrays(pa.array(offs), pa.array(rank[low].astype(np.int64))),
                 ],
-                ["id", "cls", "print"],
+                ["id", "cls", "size", "skip", "print"],
             )
 
-    return df.select("id", "text").mapInArrow(run, "id long, cls binary, print array<long>")
+    return df.select("id", "text").mapInArrow(run, "id long, cls binary, size int, skip int, print array<long>")
 
 
-def meeting_pairs(prints: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b, of all fingerprints ``(id, print)`` that meet in a variant half the radius away."""
-    core = SIZE - HALF
-    assert core == 2
-    e = [F.get("print", F.lit(i)) for i in range(SIZE)]
-    keys = [F.when(e[j].isNotNull(), F.xxhash64(e[i], e[j]).bitwiseAND(VARIANT)) for j in range(SIZE) for i in range(j)]
-    variants = prints.select("id", F.explode(F.array_compact(F.array(*keys))).alias("v"))
-    x, y = variants.select("v", F.col("id").alias("a")), variants.select("v", F.col("id").alias("b"))
-    return x.join(y, "v").where("a < b").select("a", "b").distinct()
+def meeting_pairs(prints: DataFrame, least: float) -> DataFrame:
+    """``(a, b)``, a < b, of all fingerprints ``(id, size, skip, print)`` that meet in an element and can reach ``least``."""
+    each = prints.select("id", "size", "skip", F.posexplode("print").alias("pos", "e"))
+    each = each.select(F.col("e").bitwiseAND(ELEMENT).alias("e"), "id", "size", (F.col("size") - F.col("skip") - F.col("pos")).alias("rest"))
+    x, y = each.select("e", *(F.col(c).alias(f"{c}_a") for c in ("id", "size", "rest"))), each.select("e", *(F.col(c).alias(f"{c}_b") for c in ("id", "size", "rest")))
+    sized = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-6
+    # before their first common element two records share nothing, from there on no more than either has left
+    bound = F.least("rest_a", "rest_b") * (1 + least) >= least * (F.col("size_a") + F.col("size_b")) - 1e-6
+    return x.join(y, "e").where((F.col("id_a") < F.col("id_b")) & sized & bound).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def among(rows: DataFrame, ids: DataFrame, bins: int = BINS) -> DataFrame:
@@ -165,10 +173,11 @@ def near_duplicates(df: DataFrame, k: int = 5, least: float = 0.8, least_words:
     once if equal.
     """
     df = df.select("id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    prints = cut(fingerprints(df, k, least_words, bins, frequent), "prints")
+    prints = cut(fingerprints(df, k, least, least_words, bins, frequent), "prints")
     ids = prints.select("id", "cls")
     members = ids.join(ids.groupBy("cls").agg(F.min("id").alias("cls_id")), "cls").select("id", "cls_id").distinct()
-    pairs = meeting_pairs(prints.groupBy("cls").agg(F.min("id").alias("id"), F.first("print").alias("print")).select("id", "print"))
+    once = prints.groupBy("cls").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("size", "skip", "print")))
+    pairs = meeting_pairs(once, least)
     pairs = cut(pairs, "pairs")
     texts = among(df, pairs.select(F.explode(F.array("a", "b")).alias("id")), bins)
     return members, verified(pairs, texts, k, least)
