@@ -94,3 +94,17 @@ def test_found_and_redacted_frames(spark, rows):
     red = {r.id: r.text for r in P.redact(values, names).collect() if r.id is not None}
     assert red[900] is None and red[901] == "" and "[" in "".join(v or "" for v in red.values())
     assert rows(P.found(values.limit(0), names)) == [] and rows(P.found(values.limit(0), names.limit(0))) == []
+
+
+def test_words_and_contexts_come_from_all_texts(spark):
+    rng = random.Random(8)
+    data = [("turns", i, "request", rng.choice(PLAIN)) for i in range(3000)]
+    for j in range(12):  # a context and a word so rare that a sample of 200 texts hardly holds them
+        data[250 * j + 7] = ("turns", 250 * j + 7, "request", f"The quibbleworth ledger was countersealed by {GIVEN[j]} {FAMILY[j]} yesterday.")
+    df = spark.createDataFrame(data, "tbl string, id long, field string, text string").repartition(4)
+    names = spark.createDataFrame(NAMES, "name string, name_part string")
+    small, full = P.train(df, names, most=200), P.train(df, names, most=10_000)
+    assert "countersealed by" in small.contexts and small.contexts == full.contexts
+    assert "quibbleworth" in small.names.common and small.names.common == full.names.common
+    whole = P.Finder(NAMES, [t for *_, t in data])
+    assert full.contexts == whole.contexts and full.names.common == whole.names.common

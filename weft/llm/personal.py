@@ -5,7 +5,8 @@ every mention and many spans that are none.  *Labelers* vote on each candidate:
 its shape, gazetteers at its words, context labelers at the words around it, a morphology model
 (trained on the name list) at the letters.  *Expectation-maximisation* estimates how reliable each
 labeler is, per kind, and gives every candidate of a bounded sample a probability.  A hashed logistic
-regression trained on these probabilities is the final *span classifier*; it scores every candidate
+regression trained on these probabilities is the final *span classifier*.  What the labelers know of the
+corpus, its common words and the contexts of names, is counted over all texts.  The classifier scores every candidate
 of every text, overlapping spans are settled by score, and the rest are the mentions.
 """
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ class Names:
         self.given = {n.lower() for n, p in rows if p == "given"}
         self.family = {n.lower() for n, p in rows if p == "family"}
         both = self.given | self.family
-        words = sorted({w for w in others if w not in both})[:20_000]
+        words = sorted({w for w in others if w not in both})
         labelled = [(w, 1.0) for w in sorted(both)] + [(w, 0.0) for w in words]
         x = logit.matrix([logit.index(self._letters(w)) for w, _ in labelled])
         y = np.array([v for _, v in labelled])
@@ -262,28 +263,48 @@ def reliabilities(votes: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.n
     return p, table
 
 
+def word_counts(texts: list[str]) -> Counter[str]:
+    """In how many of ``texts`` each word occurs."""
+    return Counter(w for t in texts for w in set(re.findall(r"[a-z]{3,}", t.lower())))
+
+
+def common_words(counts: dict[str, int], n: int) -> set[str]:
+    """The words of many of ``n`` texts: vocabulary, whatever their letters; names and streets are spread thin."""
+    return {w for w, c in counts.items() if c >= max(5, n / 1000)}
+
+
+def context_counts(texts: list[str], names: Names) -> tuple[Counter[str], Counter[str]]:
+    """The contexts of candidate names in ``texts``: how often each occurs, and how often with a pair of the name list."""
+    every: Counter[str] = Counter()
+    seen: Counter[str] = Counter()
+    for t in texts:
+        for k, s, e in spans(t, names):
+            if k == "name":
+                left, right = _around(t, s, e)
+                l1, l2, r1 = (left[-1] if left else "^"), (left[-2] if len(left) > 1 else "^"), (right[0] if right else "$")
+                a, b = re.split(r",? ", t[s:e].lower(), maxsplit=1)
+                fits = a in names.given and b in names.family or a in names.family and b in names.given
+                for c in (f"{l2} {l1}|{r1}", f"{l2} {l1}"):
+                    every[c] += 1
+                    seen[c] += fits
+    return every, seen
+
+
 class Finder:
-    """The trained span classifier with its tables; built on the driver, used on executors."""
+    """The trained span classifier with its tables; built on the driver, used on executors.
+
+    ``names`` and ``contexts`` come from all texts of a corpus (see ``train``); without them ``texts`` are all there is.
+    """
 
-    def __init__(self, name_rows: list[tuple[str, str]], texts: list[str]):
-        n = Counter(w for t in texts for w in set(re.findall(r"[a-z]{3,}", t.lower())))
-        # words of many texts are vocabulary, whatever their letters; names and streets are spread thin
-        common = {w for w, c in n.items() if c >= max(5, len(texts) / 1000)}
-        self.names = Names(name_rows, sorted(common), common)
+    def __init__(self, name_rows: list[tuple[str, str]], texts: list[str], names: Names | None = None, contexts: frozenset[str] | None = None):
+        if names is None:
+            common = common_words(word_counts(texts), len(texts))
+            names = Names(name_rows, sorted(common), common)
+        if contexts is None:
+            every, seen = context_counts(texts, names)
+            contexts = frozenset(c for c, n in seen.items() if n >= 3 and n >= 0.4 * every[c])
+        self.names, self.contexts = names, contexts
         per_text = [(t, spans(t, self.names)) for t in texts]
-        seen: Counter[str] = Counter()
-        every: Counter[str] = Counter()
-        for t, ss in per_text:
-            for k, s, e in ss:
-                if k == "name":
-                    left, right = _around(t, s, e)
-                    l1, l2, r1 = (left[-1] if left else "^"), (left[-2] if len(left) > 1 else "^"), (right[0] if right else "$")
-                    a, b = re.split(r",? ", t[s:e].lower(), maxsplit=1)
-                    fits = a in self.names.given and b in self.names.family or a in self.names.family and b in self.names.given
-                    for c in (f"{l2} {l1}|{r1}", f"{l2} {l1}"):
-                        every[c] += 1
-                        seen[c] += fits
-        self.contexts = frozenset(c for c, n in seen.items() if n >= 3 and n >= 0.4 * every[c])
         by: dict[str, list] = {k: [] for k in KINDS}
         for t, ss in per_text:
             for k, s, e in ss:
@@ -319,15 +340,39 @@ class Finder:
         return "".join(out) + text[at:]
 
 
+def _counted(texts: DataFrame, count: Callable[[list[str]], tuple[Counter[str], Counter[str]]]) -> DataFrame:
+    """``(key, n, hits)``: two counts of each key that ``count`` finds in the texts of a batch, summed over all of ``texts(text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, hits = count(b.column("text").to_pylist())
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([hits[k] for k in n], pa.int64())], ["key", "n", "hits"])
+
+    return texts.mapInArrow(run, "key string, n long, hits long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+
+
 def train(values: DataFrame, name_list: DataFrame, most: int = TRAIN_TEXTS) -> Finder:
-    """A finder fitted on at most ``most`` texts, taken by a hash, and the name list (at most 100,000 names)."""
+    """A finder with the words and contexts of all texts and the name list (at most 100,000 names).
+
+    Reliabilities and the classifier are fitted on at most ``most`` texts, taken by a hash.  The driver gets the words of
+    at least a thousandth of the texts, and the contexts in which names of the list are usual.
+    """
     rows = name_list.where("name IS NOT NULL").select("name", "name_part").distinct().limit(100_001).collect()
     if len(rows) > 100_000:
         raise ValueError("the name list is meant to be small; filter it to 100,000 names")
-    n = values.count()
-    pool = values.where(F.pmod(F.xxhash64("tbl", "id", "field"), F.lit(1_000_000)) < int(min(1.0, 1.2 * most / max(n, 1)) * 1_000_000) + 1)
-    texts = [r.text for r in pool.where("text <> ''").orderBy(F.xxhash64("tbl", "id", "field")).select("text").limit(most).collect()]
-    return Finder(sorted((r.name, r.name_part) for r in rows), texts)
+    name_rows = sorted((r.name, r.name_part) for r in rows)
+    full = values.where("text <> ''")
+    n = full.count()
+    words = _counted(full.select("text"), lambda texts: (word_counts(texts), Counter())).where(F.col("n") >= max(5, n / 1000))
+    common = {r.key for r in words.select("key").collect()}
+    names = Names(name_rows, sorted(common), common)
+    sent = values.sparkSession.sparkContext.broadcast(names)
+    contexts = _counted(full.select("text"), lambda texts: context_counts(texts, sent.value)).where("hits >= 3 AND hits >= 0.4 * n")
+    known = frozenset(r.key for r in contexts.select("key").collect())
+    pool = full.where(F.pmod(F.xxhash64("tbl", "id", "field"), F.lit(1_000_000)) < int(min(1.0, 1.2 * most / max(n, 1)) * 1_000_000) + 1)
+    texts = [r.text for r in pool.orderBy(F.xxhash64("tbl", "id", "field")).select("text").limit(most).collect()]
+    return Finder(name_rows, texts, names, known)
 
 
 def found(values: DataFrame, name_list: DataFrame) -> DataFrame:
