@@ -73,3 +73,34 @@ def test_awkward_rows(spark, rows):
     assert rows(capture.pending_files(f, r, i)) == [(5, "added"), (6, "added")]
     assert rows(capture.pending_files(f.limit(0), r, i)) == []
     assert rows(capture.pending_files(f, r.limit(0), i.limit(0))) == [(5, "added"), (6, "added")]
+
+
+def test_kept_folder_with_late_rows_and_a_failed_run(spark, rows):
+    at = lambda m: T0 + timedelta(minutes=m)
+    first = [(1, "a", "a1", at(10)), (2, "b", "b1", at(20)), (3, "c", "c1", at(30)), (4, "d", "d1", at(40))]
+    late = [(5, "./b", "b0", at(5)), (6, "c", "c2", at(50)), (7, "e", "e1", at(60))]
+    runs = [(1, "ok", T0), (2, "failed", T0)]
+    items = [(1, "b", "B1", T0), (1, "d", "d1", T0)]
+    lost = [(2, p, f"{p}1", T0) for p in "ac"]  # handled by the run that failed
+    folder = new_path(spark, "kept")
+    assert rows(capture.pending_files(*frames(spark, first, runs[:1], items), folder)) == plain(first, runs[:1], items) == [(1, "added"), (3, "added")]
+    # the current row of b is still the first one, and a comes out again
+    again = frames(spark, first + late, runs, items + lost)
+    assert rows(capture.pending_files(*again, folder)) == plain(first + late, runs, items + lost) == [(1, "added"), (6, "added"), (7, "added")]
+    cc = capture.ChangeCapture(spark, folder)
+    assert rows(cc.sink(), "path", "id") == [("a", 1), ("b", 2), ("c", 6), ("d", 4), ("e", 7)]
+    # nothing new, then a batch that dies, with more rows before its replay
+    assert rows(capture.pending_files(*again, folder)) == [(1, "added"), (6, "added"), (7, "added")]
+    more = first + late + [(8, "f", "f1", at(70))]
+    cc.run(capture.change_log(frames(spark, more, [], [])[0]), fail_before_commit=True)
+    more += [(9, "g", "g1", at(80))]
+    assert rows(capture.pending_files(*frames(spark, more, runs, items + lost), folder)) == plain(more, runs, items + lost)
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_any_batches_equal_one(spark, rows, seed):
+    files, runs, items = make(seed)
+    files.sort(key=lambda f: f[0])
+    folder = new_path(spark, "kept")
+    for n in (90, 91, 200, len(files)):
+        assert rows(capture.pending_files(*frames(spark, files[:n], runs, items), folder)) == plain(files[:n], runs, items)

@@ -9,11 +9,12 @@ The table of versions is read as a log: a record's *key* is its normalised path,
 3. **Commit.**  The result goes to the sink under the batch's number, then ``done-<n>`` is written.
 
 A plan without ``done`` is replayed with the very same ranges after a failure, so nothing is
-skipped; the sink overwrites the folder of its batch and keeps the greatest offset per key, so
-nothing is repeated.  Plans hold one line per partition (a fixed number), never data.
+skipped; the sink overwrites the folder of its batch and keeps the latest version per key over all
+batches, so nothing is repeated and a version that arrives late replaces no newer one.  Plans hold one line per partition (a fixed number), never data.
 
 What earlier runs *attest* (their items, if the run succeeded) is the other side: only keys
-without an attested hash, or with another one, come out.
+without an attested hash, or with another one, come out.  All committed batches count: a key of an
+earlier batch comes out until a successful run attests it.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def current(log: DataFrame) -> DataFrame:
 
     ``max`` of a struct combines before the shuffle, so a path with any number of versions is no hot key.
     """
-    return log.groupBy("path").agg(F.max(F.struct("at", "offset", "hash")).alias("m")).select("path", F.col("m.offset").alias("id"), F.col("m.hash").alias("hash"))
+    return log.groupBy("path").agg(F.max(F.struct("at", "offset", "hash")).alias("m")).select("path", F.col("m.offset").alias("id"), F.col("m.hash").alias("hash"), F.col("m.at").alias("at"))
 
 
 def pending(now: DataFrame, seen: DataFrame) -> DataFrame:
@@ -144,18 +145,26 @@ class ChangeCapture:
         return self.spark.read.parquet(out)
 
     def sink(self) -> DataFrame:
-        """All committed rows, one per key: the one with the greatest batch, then offset."""
-        done = {int(n[5:]) for n in self._names() if n.startswith("done-")}
-        rows = self.spark.read.option("basePath", f"{self.folder}/sink").parquet(*[f"{self.folder}/sink/batch={n}" for n in sorted(done)])
-        return rows.groupBy("path").agg(F.max(F.struct("batch", "id", "hash")).alias("m")).select("path", "m.id", "m.hash")
+        """All committed rows ``(path, id, hash, at)``, one per key: the one with the greatest time, then offset."""
+        done = sorted(int(n[5:]) for n in self._names() if n.startswith("done-"))
+        if not done:
+            return self.spark.createDataFrame([], "path string, id long, hash string, at timestamp")
+        rows = self.spark.read.option("basePath", f"{self.folder}/sink").parquet(*[f"{self.folder}/sink/batch={n}" for n in done])
+        if len(done) == 1:
+            return rows.select("path", "id", "hash", "at")
+        return rows.groupBy("path").agg(F.max(F.struct("at", "id", "hash")).alias("m")).select("path", "m.id", "m.hash", "m.at")
 
 
 def pending_files(files: DataFrame, runs: DataFrame, items: DataFrame, folder: str | None = None) -> DataFrame:
-    """``(id, state)`` of the files the next run must handle, each once, through one captured batch.
+    """``(id, state)`` of the files the next run must handle, each once, after all new versions are captured.
 
-    A fresh log starts at the first offset, so its batch covers all versions.  Empty tables give no rows.
+    A fresh log starts at the first offset, so its batch covers all versions.  With a kept ``folder`` only new versions
+    are read, and the state of all committed batches is held against what runs attest.  Empty tables give no rows.
     """
     spark = files.sparkSession
     log = change_log(files)
-    batch = ChangeCapture(spark, folder or new_path(spark, "capture")).run(log)
-    return pending(batch if batch is not None else current(log), attested(runs, items))
+    capture = ChangeCapture(spark, folder or new_path(spark, "capture"))
+    for _ in range(2):  # a plan left open by a failure, then what came since
+        if capture.run(log) is None:
+            break
+    return pending(capture.sink(), attested(runs, items))
