@@ -146,3 +146,19 @@ def test_pipeline(spark):
     small = pipeline.run_pipeline(df, "connection pool leaks handles under load", max_tokens=20).collect()
     assert sum(r.tokens for r in small) <= 20
     assert pipeline.run_pipeline(df, "  ").isEmpty() and pipeline.run_pipeline(df.limit(0), "pool").isEmpty()
+
+
+def test_pipeline_keeps_different_texts_under_one_path(spark):
+    text = lambda i: f"# Connection pool {i}\n\nThe connection pool leaks handles under load, case {i}.\n"
+    data = [(i, f"docs/p{i // 2}.md", "markdown", text(i)) for i in range(8)] + [(20, "docs/p0.md", "markdown", text(0)), (30, "docs/other.md", "markdown", "# Colours\n\nNothing of the kind.\n")]
+    schema = "file_id long, path string, language string, text string"
+    task = "connection pool leaks handles under load"
+    df = spark.createDataFrame(data, schema)
+    got = pipeline.run_pipeline(df, task).collect()
+    assert sorted(r.file_id for r in got if r.path != "docs/other.md") == list(range(8))
+    assert all(r.path == f"docs/p{r.file_id // 2}.md" for r in got if r.file_id < 8)
+    assert pipeline.run_pipeline(spark.createDataFrame(data[::-1], schema).repartition(5), task).collect() == got
+    changed = spark.createDataFrame([("docs/p3.md",), ("gone.md",)], "path string")
+    rules = spark.createDataFrame([("docs/p3.md", 2)], "pattern string, level int")
+    first = pipeline.run_pipeline(df, task, changed=changed, level_rules=rules).collect()
+    assert sorted(r.file_id for r in first[:2]) == [6, 7] and {r.level for r in first[:2]} == {2} and len(first) == len(got)

@@ -63,19 +63,25 @@ def candidates_for(files: DataFrame, symbols: DataFrame, task: str) -> DataFrame
 
 
 def run_pipeline(files: DataFrame, task: str, max_tokens: int = B.DEFAULT_BUDGET, changed: DataFrame | None = None, level_rules: DataFrame | None = None, level: int | None = None) -> DataFrame:
-    """``(rank, path, score, level, tokens)`` of the files that fit the budget, best first.
+    """``(rank, path, score, level, tokens, file_id)`` of the files that fit the budget, best first.
 
-    Files without a text have no symbols and never come out.  ``level`` overrides the chosen compression, ``level_rules``
+    A path may hold several files of different texts: each counts for itself (``file_id`` is unique), and equal texts under one
+    path are one file, the one of the least id.  Files without a text have no symbols and never come out.  ``level`` overrides the chosen compression, ``level_rules``
     overrides it by path.  A blank task gives no rows.
     """
     if max_tokens < 1:
         raise ValueError("max_tokens must be positive")
     spark = files.sparkSession
-    files = files.where("path IS NOT NULL AND text IS NOT NULL").select("file_id", "path", "language", "text").dropDuplicates(["path"])
     if not task.strip():
-        return spark.createDataFrame([], "rank int, path string, score double, level int, tokens long")
+        return spark.createDataFrame([], "rank int, path string, score double, level int, tokens long, file_id long")
+    files = files.where("path IS NOT NULL AND text IS NOT NULL").groupBy("path", "language", "text").agg(F.min("file_id").alias("file_id"))
+    # the operators know a file by one string: its path, then its id
+    key = F.concat_ws("\0", "path", F.lpad(F.col("file_id").cast("string"), 20, "0"))
+    files = cut(files.select("file_id", key.alias("path"), F.col("path").alias("real"), "language", "text"), "files")
     symbols = cut(symbols_of(files), "symbols")
     found = cut(candidates_for(files, symbols, task), "candidates")
+    if changed is not None:
+        changed = files.join(changed.select(F.col("path").alias("real")).distinct(), "real", "left_semi").select("path")
     boosted = diff_boost(found, changed, files) if changed is not None else found.withColumn("bucket", F.lit(2))
     near = files.select("path", "language", "text").join(boosted, "path")
     count = symbols.join(boosted.select("path"), "path", "left_semi").groupBy("path").agg(F.count("*").alias("symbols"))
@@ -90,15 +96,18 @@ def run_pipeline(files: DataFrame, task: str, max_tokens: int = B.DEFAULT_BUDGET
     ranked = ranked.withColumn("rank", F.row_number().over(W.orderBy(*order)))
     packed = rules.within_budget(ranked.select("id", (-F.col("rank")).cast("double").alias("score"), "tokens"), max_tokens).select("id")
     chosen = ranked.join(packed, "id", "left_semi").select("path", "score", "rank")
-    by_path = B.rule_level(chosen, level_rules).withColumnRenamed("level", "_own") if level_rules is not None else chosen.select("path", F.lit(None).cast("int").alias("_own"))
-    full = chosen.join(by_path, "path").join(files.select("path", "language", "text"), "path").withColumn("level", F.coalesce("_own", F.lit(int(lv))))
+    full = chosen.join(files, "path").drop("path").withColumnRenamed("real", "path")
+    own = F.lit(None).cast("int")
+    if level_rules is not None:
+        full, own = full.join(B.rule_level(full.select("path").distinct(), level_rules).withColumnRenamed("level", "_own"), "path"), F.col("_own")
+    full = full.withColumn("level", F.coalesce(own, F.lit(int(lv))))
     tokens = F.ceil(F.length(T.compress(F.col("text"), F.col("language"), F.col("level"))) / 4)
-    return full.select("rank", "path", "score", "level", tokens.alias("tokens")).orderBy("rank")
+    return full.select("rank", "path", "score", "level", tokens.alias("tokens"), "file_id").orderBy("rank")
 
 
 @query()
 def flagship_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """R5, E1 over all documents."""
+    """R5, E1 over all documents, those of different texts under one path included."""
     return run_pipeline(docs(spark, d), "Open conflicts: how does the cache digest rank a lockfile snapshot under load?")
 
 
