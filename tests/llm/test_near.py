@@ -107,3 +107,11 @@ def test_large_family_loses_no_pair(spark):
     want = brute(texts, 3, 0.5, 12)
     assert len(want) > 44_000 and {(0, i) for i in range(1, 301)} <= want
     assert {(r.a, r.b) for r in near.expanded(members, links).collect()} == want
+
+
+def test_short_fingerprints_meet(spark, rows):
+    data = [(8, "same " * 40), (9, "same " * 41), (10, "same " * 40 + "end"), (11, "other " * 30)]
+    df = spark.createDataFrame(data, "id long, text string")
+    members, links = near.near_duplicates(df, k=3, least=0.5, bins=1 << 16)
+    # one sequence each, the same one; and one of two
+    assert [(r.a, r.b, r.similarity) for r in links.orderBy("a", "b").collect()] == [(8, 9, 1.0), (8, 10, 0.5), (9, 10, 0.5)]
