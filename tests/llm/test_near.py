@@ -115,3 +115,9 @@ def test_short_fingerprints_meet(spark, rows):
     members, links = near.near_duplicates(df, k=3, least=0.5, bins=1 << 16)
     # one sequence each, the same one; and one of two
     assert [(r.a, r.b, r.similarity) for r in links.orderBy("a", "b").collect()] == [(8, 9, 1.0), (8, 10, 0.5), (9, 10, 0.5)]
+
+
+def test_components_that_are_not_settled_are_an_error(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)], "a long, b long")
+    with pytest.raises(RuntimeError, match="not settled"):
+        near.components(spark.range(1, 61), links, most_rounds=2)

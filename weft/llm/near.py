@@ -204,7 +204,8 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 40) -> Dat
     """``(id, group_id)``: the least id reachable over ``links(a, b)`` for every ``nodes(id)``.
 
     Alternates large-star and small-star steps on the edge list; each round is a group-by on the
-    edges and halves paths, and is written to the shared folder.
+    edges and halves paths, and is written to the shared folder.  Groups that aren't settled after
+    ``most_rounds`` are an error.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     last = None
@@ -220,5 +221,7 @@ def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 40) -> Dat
         if last == now:
             break
         last = now
+    else:
+        raise RuntimeError(f"the groups are not settled after {most_rounds} rounds")
     group = edges.groupBy("u").agg(F.min("v").alias("group_id"))
     return nodes.join(group, nodes["id"] == group["u"], "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
