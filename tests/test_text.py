@@ -96,3 +96,17 @@ def test_paths(ev):
     assert ev(P.absolute, "/a//b/./c/../d/", "e:\\dev\\x", "\\\\?\\E:\\dev", "\\\\?\\UNC\\srv\\share\\d", "\\\\srv\\share", "/a/../..", "rel/x", "", "/", "\\\\?\\Volume\\x") == ["/a/b/d", "E:/dev/x", "E:/dev", "//srv/share/d", "//srv/share", None, None, None, "/", None]
     assert ev(lambda c: P.private_place(c, "/home/u"), "/home/u/.ssh/id", "/home/u/AppData/Local/Temp/x", "/home/u/Library/x", "/home/u/src/.x", "/home/u2/.ssh") == [True, False, True, False, False]
     assert ev(lambda c: P.private_place(c, "C:/Users/u"), "C:/Users/u/appdata/x", "C:/Users/u/appdata/local/temp/x") == [True, False]
+
+
+def test_queries_leave_out_no_row(spark, rows, tmp_path):
+    from weft.plans.registry import QUERIES
+
+    fence = "# One\nalpha\n```\n# no heading\n```\n# Two\nbeta"
+    docs = [(1, fence), (2, "---\nkey: v\n---\n# Three\ngamma"), (3, "# Four\n~~~\n# none\n~~~\ndelta"), (4, "# Five\nepsilon"), (5, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    files = [(1, "a/../b.rs"), (2, "a//c.rs"), (3, "a/./d.rs"), (4, "e.rs"), (5, None)]
+    spark.createDataFrame(files, "id long, path string").write.parquet(f"{tmp_path}/files.parquet")
+    run = lambda q: QUERIES[q](spark, str(tmp_path))
+    assert rows(run("x10_rule_sections"), "doc_id", "heading") == [(1, "One"), (1, "Two"), (2, "Three"), (3, "Four"), (4, "Five")]
+    assert rows(run("x12_markdown_compress"), "doc_id") == [(1,), (2,), (3,), (4,)]
+    assert rows(run("s21_absolute")) == [(1, "/home/u/b.rs"), (2, "/home/u/a/c.rs"), (3, "/home/u/a/d.rs"), (4, "/home/u/e.rs")]

@@ -94,8 +94,8 @@ h AS (SELECT *, regexp_matches(x, '^#{1,3} ') AS head FROM l), s AS (SELECT *, s
 g AS (SELECT doc_id, sec, coalesce(max(CASE WHEN head THEN trim(regexp_replace(regexp_extract(x, '^#{1,3} (.*)$', 1), '[# ]+$', '')) END), '') AS heading, coalesce(string_agg(CASE WHEN NOT head THEN x END, chr(10) ORDER BY no), '') AS body FROM s GROUP BY 1, 2)
 SELECT doc_id, heading, trim(body, E' \t\r\n') AS text, sha256(heading || chr(10) || trim(body, E' \t\r\n')) AS hash FROM g WHERE trim(body, E' \t\r\n') <> ''""")
 def x10_rule_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Sections of all documents without fences and front matter (the SQL has neither; tests cover both)."""
-    t = read_table(spark, d, "documents").where("text IS NOT NULL AND NOT contains(text, '```') AND NOT contains(text, '~~~') AND NOT startswith(text, '---')")
+    """Sections of all documents (the SQL leaves out those with fences or front matter; tests cover both)."""
+    t = read_table(spark, d, "documents").where("text IS NOT NULL")
     return t.select("doc_id", F.inline(T.rule_sections(F.col("text"))))
 
 
@@ -111,8 +111,8 @@ WITH l AS (
   FROM (SELECT doc_id, regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n\z', '') AS t FROM documents WHERE text IS NOT NULL AND NOT contains(text, '```')) y)
 SELECT doc_id, regexp_replace(coalesce(string_agg(CASE WHEN regexp_matches(x, '^\s*(?:#|[-*+>] |\p{N})|^\s*(?:---|\*\*\*|___)\s*$') THEN x END, chr(10) ORDER BY no), ''), '\s+\z', '') AS text FROM l GROUP BY 1""")
 def x12_markdown_compress(spark: SparkSession, d: str) -> DataFrame:
-    """All documents without fenced code (the SQL has no fold; tests cover fences)."""
-    t = read_table(spark, d, "documents").where("text IS NOT NULL AND NOT contains(text, '```')")
+    """All documents (the SQL has no fold and leaves out those with fenced code; tests cover fences)."""
+    t = read_table(spark, d, "documents").where("text IS NOT NULL")
     return t.select("doc_id", T.markdown_compress(F.col("text")).alias("text"))
 
 
@@ -183,8 +183,9 @@ def s05_content_hash(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT id, '/home/u/' || regexp_replace(replace(path, chr(92), '/'), '^(?:\\./)+', '') AS path FROM files WHERE path NOT LIKE '%..%' AND path NOT LIKE '%//%' AND path NOT LIKE '%/./%'")
 def s21_absolute(spark: SparkSession, d: str) -> DataFrame:
+    """Paths of all files (the SQL resolves no inner dots or double slashes and leaves those paths out)."""
     p = paths.absolute(F.concat(F.lit("/home/u/x/../"), "path"))
-    return read_table(spark, d, "files").where("path NOT LIKE '%..%' AND path NOT LIKE '%//%' AND path NOT LIKE '%/./%'").select("id", p.alias("path"))
+    return read_table(spark, d, "files").where("path IS NOT NULL").select("id", p.alias("path"))
 
 
 @query("SELECT id, CASE WHEN p = 'core' OR starts_with(p, 'core/') THEN 'core' WHEN starts_with(p, 'notes/') THEN 'notes' END AS root FROM (SELECT id, replace(path, chr(92), '/') AS p FROM files) x")
