@@ -1,115 +1,181 @@
-"""Problem 1: near-duplicate records with small edits, by meeting in an exact prefix.
-
-*Fingerprint.*  All shingles of a corpus stand in one order: by how often they occur (counted in a
-fixed number of hashed bins, told apart up to ``FREQUENT``), then by hash.  A record of n shingles
-that shares at least a part s of its union with another one shares at least s n of its own; so two
-such records have a common element among the first n - ceil(s n) + 1 of either, whatever the order
-is.  These first elements are the fingerprint, and records meet in each of its elements.  *No pair
-is lost*: not in a family of any size, not among records of one or two shingles.  The order only
-says how many pairs meet in vain: rare shingles come first, so a phrase that thousands of records
-have is in the fingerprint of those only of which it makes up a large part.
-
-This takes the place of ball hashing on the 8 smallest hashes, whose half-radius variants are either
-too common (a phrase) or, with frequent shingles last, lose families of more than ``FREQUENT`` copies.
-
-*Filters.*  An element in a bin of count 1 can meet nothing and isn't emitted.  Where two records
-meet, their sizes and the places of the element bound what they can share; a pair must reach the
-similarity by that bound in one of its meetings (it does in its first, if it is a case).
+"""Problem 1: near-duplicate records with small edits, by meet-in-the-middle ball hashing.
+
+*Fingerprint.*  A record's fingerprint is the set of its ``SIZE`` = 8 smallest shingle hashes
+(a bottom-k sketch).  The metric is the symmetric difference: an edit removes some elements and
+adds others.  Two fingerprints within radius 2r (r = ``HALF`` = 6) have r removals on either
+side, so each side walks half the way: it emits *all* variants that lie r removals away (the
+C(8, 2) = 28 pairs of its elements) and fingerprints within the radius meet in a common
+variant, their shared core.  At a Jaccard similarity of 0.5 an element of one fingerprint is in
+the other with probability about 2/3, so fewer than two of eight are shared in about 0.3 % of such pairs.
+
+*Crowded variants.*  A phrase that thousands of records use makes variants that thousands of records
+emit, and so does a family of many edited copies.  Nothing is counted over the corpus or demoted
+for that: a variant that more than ``CROWDED`` records emit is split.  Its records emit the variant
+extended by each of ``FAN`` further elements, taken from a second sketch of ``SKETCH`` elements in an
+order of the variant's own, so records that are alike meet again and records with a phrase in common
+part; what is still crowded is split once more.  How far a crowded variant's records agree in these elements
+estimates how alike they are: where they agree in half of them they are a family, and its pairs are
+the result itself, so it is not split.
+
+*Small sets.*  Records of so few different shingles that a case need not share more than the elements of a
+crowded variant are paired in it, whether it is split or not: sharing these, they are alike anyway.  Where one
+element can make a case, each element is a variant too.
 
 *Copies* are folded first: records with the same word sequence form a class and only its
-representative emits elements.  *Verification* is exact: colliding pairs are deduplicated, and
-the two texts compared by their sets of shingles.
+representative emits variants.  *Verification* is exact: colliding pairs are deduplicated, those whose
+bitmaps prove too many differences are left out, and the texts of the others compared by their sets of shingles.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.words import Hasher, flat, hashed_counts, mix, shingles, words
 from weft.runtime import cut
 
-#: Bins for the counts of shingles (one byte each) and the count above which bins are no longer told apart.
-BINS, FREQUENT = 1 << 23, 64
-#: Elements are shuffled as 40-bit hashes: the zero bytes compress, a chance collision costs one comparison.
-ELEMENT = (1 << 40) - 1
+SIZE, HALF = 8, 6
+#: Most records of a variant that is not split; elements a split extends it by; elements of the sketch they come from.
+CROWDED, FAN, SKETCH = 32, 8, 24
+#: Splits of a variant at most; after the last one its pairs are compared however many they are.
+SPLITS = 5
+#: Agreement in the further elements from which the records of a crowded variant are a family.
+FAMILY = 0.5
+#: Variants are shuffled as 48-bit hashes: the zero bytes compress, a chance collision costs one comparison.
+VARIANT = (1 << 48) - 1
+#: Records of a group that one task pairs with the whole group.
+BLOCK = 2048
+#: Longs of a record's bitmap of shingles, and bins of the bitmap of record ids (bins / 8 bytes).
+BITS, BINS = 4, 1 << 23
 
 
 def _texts(b: pa.RecordBatch) -> list[list[bytes]]:
     return [words(t) if t else [] for t in b.column("text").to_pylist()]
 
 
-def shingle_counts(df: DataFrame, k: int, bins: int = BINS) -> np.ndarray:
-    """How often the shingles of each bin occur in all of ``df.text``, up to 255 (``bins`` bytes)."""
+def _lowest(rank: np.ndarray, own: np.ndarray, value: np.ndarray, n: int, size: int) -> pa.Array:
+    """Per owner (of ``n``) the values of its ``size`` lowest ranks, as lists."""
+    order = np.lexsort((rank, own))
+    own = own[order]
+    low = np.arange(len(own)) - np.searchsorted(own, np.arange(n))[own] < size
+    offs = np.zeros(n + 1, np.int32)
+    np.cumsum(np.bincount(own[low], minlength=n), out=offs[1:])
+    return pa.ListArray.from_arrays(pa.array(offs), pa.array(value[order][low]))
 
-    def bin_ids(b: pa.RecordBatch) -> np.ndarray:
-        h, off = flat(_texts(b), Hasher())
-        return (shingles(h, off, k)[0] & np.uint64(bins - 1)).astype(np.int64)
 
-    return hashed_counts(df.select("text"), bins, bin_ids)
+def fingerprints(df: DataFrame, k: int, least_words: int) -> DataFrame:
+    """``(id, cls, size, print, sketch, bits)`` of each record of ``df(id, text)`` with at least ``least_words`` words.
 
-
-def fingerprints(df: DataFrame, k: int, least: float, least_words: int, bins: int = BINS, frequent: int = FREQUENT) -> DataFrame:
-    """``(id, cls, size, skip, print)`` of each record of ``df(id, text)`` with at least ``least_words`` words.
-
-    ``cls`` is a 128-bit hash of the word sequence, ``size`` the number of different shingles,
-    ``print`` the first of them in order as far as a similarity of ``least`` needs, without the
-    first ``skip``, which no other record has.
+    ``cls`` is a 128-bit hash of the word sequence, ``size`` the number of different shingles, ``print``
+    the fingerprint, ``sketch`` the elements that split crowded variants, ``bits`` a bitmap of all shingles.
     """
-    counted = df.sparkSession.sparkContext.broadcast(shingle_counts(df, k, bins).tobytes())  # bins bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, hasher = np.frombuffer(counted.value, np.uint8), Hasher()
+        hasher = Hasher()
         for b in batches:
             ids = b.column("id").to_numpy(zero_copy_only=False)
             lists = _texts(b)
             keep = [i for i, x in enumerate(lists) if len(x) >= max(k, least_words)]
             lists = [lists[i] for i in keep]
+            n = len(lists)
             h, off = flat(lists, hasher)
             g, own = shingles(h, off, k)
-            n = np.minimum(counts[(g & np.uint64(bins - 1)).astype(np.int64)].astype(np.uint64), np.uint64(frequent + 1))
-            rank = (mix(g + np.uint64(1)) >> np.uint64(10)) | (n << np.uint64(54))
-            order = np.lexsort((rank, own))
-            rank, own = rank[order], own[order]
-            first = np.ones(len(rank), bool)
-            first[1:] = (rank[1:] != rank[:-1]) | (own[1:] != own[:-1])
-            rank, own = rank[first], own[first]
-            size = np.bincount(own, minlength=len(lists))
-            begin = np.searchsorted(own, np.arange(len(lists)))
-            low = np.arange(len(own)) - begin[own] <= (size - np.ceil(size * least - 1e-9).astype(np.int64))[own]
-            alone = rank >> np.uint64(54) <= 1
-            skip = np.bincount(own[alone], minlength=len(lists))
-            low &= ~alone
-            offs = np.zeros(len(lists) + 1, np.int32)
-            np.cumsum(np.bincount(own[low], minlength=len(lists)), out=offs[1:])
+            order = np.lexsort((g, own))
+            g, own = g[order], own[order]
+            first = np.ones(len(g), bool)
+            first[1:] = (g[1:] != g[:-1]) | (own[1:] != own[:-1])
+            g, own = g[first], own[first]
+            size = np.bincount(own, minlength=n)
+            value = (g & np.uint64(0x7FFFFFFF)).astype(np.int32)
+            bits = np.zeros((n, BITS), np.uint64)
+            at = (g >> np.uint64(32)).astype(np.int64) % (64 * BITS)
+            np.bitwise_or.at(bits, (own, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[keep], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(b" ".join(x)) for x in lists], pa.binary()),
                     pa.array(size, pa.int32()),
-                    pa.array(skip, pa.int32()),
-                    pa.ListArray.from_arrays(pa.array(offs), pa.array(rank[low].astype(np.int64))),
+                    _lowest(mix(g + np.uint64(1)), own, value, n, SIZE),
+                    _lowest(mix(g + np.uint64(2)), own, value, n, SKETCH),
+                    pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel().view(np.int64)), BITS).cast(pa.list_(pa.int64())),
                 ],
-                ["id", "cls", "size", "skip", "print"],
+                ["id", "cls", "size", "print", "sketch", "bits"],
             )
 
-    return df.select("id", "text").mapInArrow(run, "id long, cls binary, size int, skip int, print array<long>")
+    return df.select("id", "text").mapInArrow(run, "id long, cls binary, size int, print array<int>, sketch array<int>, bits array<long>")
+
+
+def paired(rows: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``, a < b, of all pairs of ids with a key in common, of ``rows(key, id, n)`` where ``n`` rows have the key.
+
+    A key of more than ``block`` rows is split: each task pairs one block of its rows with all of them.
+    """
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    x = rows.select("key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("part"), F.col("id").alias("a"))
+    y = rows.select("key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"), F.col("id").alias("b"))
+    return x.join(y, ["key", "part"]).where("a < b").select("a", "b")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """``rows(key, id, ...)`` with ``n``, how many rows have the key, where it is at least 2."""
+    return rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
+
+
+def meeting_pairs(prints: DataFrame, least: float, crowded: int = CROWDED) -> DataFrame:
+    """``(a, b)``, a < b, of all ``prints(id, size, print, sketch)`` that meet in a variant half the radius away."""
+    core = SIZE - HALF
+    assert core == 2
+    e = [F.get("print", F.lit(i)) for i in range(SIZE)]
+
+    def variant(i: int, j: int) -> Column:
+        return F.xxhash64(F.least(e[i], e[j]), F.greatest(e[i], e[j])).bitwiseAND(VARIANT)
+
+    cores = [(i, j) for j in range(SIZE) for i in range(j)]
+    rows = prints.select(F.explode(F.array_compact(F.array(*(F.when(e[j].isNotNull(), variant(i, j)) for i, j in cores)))).alias("key"), "id")
+    single = prints.where(F.col("size") * least <= 1).select(F.explode("print").alias("e"), "id").select(F.xxhash64("e").alias("key"), "id")
+    groups = [_counted(single)]
+    for split in range(SPLITS + 1):
+        met = cut(_counted(rows), "met")
+        few, many = met.where(F.col("n") <= crowded), met.where(F.col("n") > crowded)
+        if split == SPLITS or not many.take(1):
+            groups.append(met.select("key", "id", "n"))
+            break
+        groups.append(few.select("key", "id", "n"))
+        sets = many.join(prints.select("id", "size", *(["print"] if split == 0 else []), "sketch"), "id")
+        if split == 0:  # the two elements that make up the variant
+            sets = sets.withColumn("used", F.flatten(F.array(*(F.when(variant(i, j) == F.col("key"), F.array(e[i], e[j])).otherwise(F.array().cast("array<int>")) for i, j in cores))))
+        small = sets.where(F.col("size") * least <= core + split)
+        groups.append(small.select(F.xxhash64("key", F.lit(split)).alias("key"), "id", "n"))
+        further = F.filter("sketch", lambda x: ~F.array_contains(F.col("used"), x))
+        ranked = F.array_sort(F.transform(further, lambda x: F.struct(F.xxhash64("key", x).alias("h"), x.alias("x"))))
+        parts = cut(sets.select("key", "id", "n", "used", F.explode(F.slice(ranked, 1, FAN)).alias("e")).select("key", "id", "n", "used", "e.*"), "parts")
+        agree = parts.groupBy("key", "h").agg(F.count("*").alias("c"), F.first("n").alias("n")).groupBy("key")
+        agree = agree.agg((F.sum(F.col("c") * (F.col("c") - 1)) / F.sum("c") / (F.first("n") - 1)).alias("agree"))
+        family = cut(agree.where(F.col("agree") >= FAMILY).select("key"), "family")
+        groups.append(many.join(family, "key", "left_semi").select("key", "id", "n"))
+        rows = parts.join(family, "key", "left_anti").select(F.col("h").alias("key"), "id", F.array_append("used", F.col("x")).alias("used"))
+    return paired(reduce(DataFrame.unionByName, groups)).distinct()
+
+
+def possible(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
+    """The ``pairs(a, b)`` whose ``prints(id, size, bits)`` allow a similarity of ``least``: a necessary condition, so no case is left out.
+
+    A bit set in one bitmap only stands for at least one shingle that the other record has not.
+    """
+    x = prints.select(F.col("id").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba"))
+    y = prints.select(F.col("id").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb"))
 
+    def only(p: str, q: str) -> Column:
+        return reduce(Column.__add__, (F.bit_count(F.get(p, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(q, F.lit(i))))) for i in range(BITS)))
 
-def meeting_pairs(prints: DataFrame, least: float) -> DataFrame:
-    """``(a, b)``, a < b, of all fingerprints ``(id, size, skip, print)`` that meet in an element and can reach ``least``."""
-    each = prints.select("id", "size", "skip", F.posexplode("print").alias("pos", "e"))
-    each = each.select(F.col("e").bitwiseAND(ELEMENT).alias("e"), "id", "size", (F.col("size") - F.col("skip") - F.col("pos")).alias("rest"))
-    x, y = each.select("e", *(F.col(c).alias(f"{c}_a") for c in ("id", "size", "rest"))), each.select("e", *(F.col(c).alias(f"{c}_b") for c in ("id", "size", "rest")))
-    sized = F.least("size_a", "size_b") >= least * F.greatest("size_a", "size_b") - 1e-6
-    # before their first common element two records share nothing, from there on no more than either has left
-    bound = F.least("rest_a", "rest_b") * (1 + least) >= least * (F.col("size_a") + F.col("size_b")) - 1e-6
-    return x.join(y, "e").where((F.col("id_a") < F.col("id_b")) & sized & bound).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    both = F.least(F.col("sa") - only("ba", "bb"), F.col("sb") - only("bb", "ba"))
+    return pairs.join(x, "a").join(y, "b").where(both * (1 + least) >= least * (F.col("sa") + F.col("sb")) - 1e-6).select("a", "b")
 
 
 def among(rows: DataFrame, ids: DataFrame, bins: int = BINS) -> DataFrame:
@@ -164,40 +230,35 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
     return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, similarity double")
 
 
-def near_duplicates(df: DataFrame, k: int = 5, least: float = 0.8, least_words: int = 12, bins: int = BINS, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+def near_duplicates(df: DataFrame, k: int = 5, least: float = 0.8, least_words: int = 12, crowded: int = CROWDED) -> tuple[DataFrame, DataFrame]:
     """Classes and links of ``df(id, text)``: ``members(id, cls_id)`` and ``links(a, b, similarity)``.
 
     ``cls_id`` is the least id with the same word sequence.  ``links`` holds pairs of class ids,
     a < b, whose k-word sets reach the similarity ``least``.  Null and empty texts, and texts of
     fewer than ``least_words`` words or with a null id, are in neither.  Rows repeated under one id count
-    once if equal.
+    once if equal.  Variants that more than ``crowded`` classes emit are split.
     """
     df = df.select("id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    prints = cut(fingerprints(df, k, least, least_words, bins, frequent), "prints")
+    prints = cut(fingerprints(df, k, least_words), "prints")
     ids = prints.select("id", "cls")
     members = ids.join(ids.groupBy("cls").agg(F.min("id").alias("cls_id")), "cls").select("id", "cls_id").distinct()
-    once = prints.groupBy("cls").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("size", "skip", "print")))
-    pairs = meeting_pairs(once, least)
-    pairs = cut(pairs, "pairs")
-    texts = among(df, pairs.select(F.explode(F.array("a", "b")).alias("id")), bins)
+    once = prints.groupBy("cls").agg(F.min_by(F.struct("id", "size", "print", "sketch", "bits"), "id").alias("p")).select("p.*")
+    pairs = cut(possible(meeting_pairs(once, least, crowded), once, least), "pairs")
+    texts = among(df, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     return members, verified(pairs, texts, k, least)
 
 
-def expanded(members: DataFrame, links: DataFrame, most: int = 1000) -> DataFrame:
-    """``(a, b, similarity)`` over records, a < b, with every link and all copies.
+def expanded(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``(a, b, similarity)`` over records, a < b: every link and all copies, multiplied out in full.
 
-    A class of more than ``most`` exact copies is not multiplied out: its copies are paired with the
-    class id only, and the class id stands for it in links; smaller classes are expanded in full.
+    The result of m copies is m (m - 1) / 2 rows whatever m is (``members`` holds the same as m rows); a large class is
+    paired in blocks by many tasks.
     """
     n = members.groupBy("cls_id").agg(F.count("*").alias("n"))
-    sized = members.join(n, "cls_id")
-    out = sized.where((F.col("n") <= most) | (F.col("id") == F.col("cls_id"))).select("id", "cls_id")
-    x, y = out.select(F.col("cls_id").alias("a"), F.col("id").alias("ia")), out.select(F.col("cls_id").alias("b"), F.col("id").alias("ib"))
+    sized = members.select(F.col("cls_id").alias("key"), "id").join(n.withColumnRenamed("cls_id", "key"), "key")
+    x, y = members.select(F.col("cls_id").alias("a"), F.col("id").alias("ia")), members.select(F.col("cls_id").alias("b"), F.col("id").alias("ib"))
     between = links.join(x, "a").join(y, "b").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "similarity")
-    several = sized.where((F.col("n") > 1) & (F.col("n") <= most)).select("id", "cls_id")
-    same = several.alias("p").join(several.alias("q"), "cls_id").where("p.id < q.id").select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.lit(1.0).alias("similarity"))
-    star = sized.where((F.col("n") > most) & (F.col("id") != F.col("cls_id"))).select(F.col("cls_id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    return between.unionByName(same).unionByName(star)
+    return between.unionByName(paired(sized.where("n > 1")).withColumn("similarity", F.lit(1.0)))
 
 
 def components(nodes: DataFrame, links: DataFrame, most_rounds: int = 40) -> DataFrame:
