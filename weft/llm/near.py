@@ -59,14 +59,18 @@ def _texts(b: pa.RecordBatch) -> list[list[bytes]]:
     return [words(t) if t else [] for t in b.column("text").to_pylist()]
 
 
+def _order(rank: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The order of elements by owner, then by the upper 40 bits of the rank: one sort of integers."""
+    return np.argsort((own.astype(np.uint64) << np.uint64(40)) | (rank >> np.uint64(24)))
+
+
 def _lowest(rank: np.ndarray, own: np.ndarray, value: np.ndarray, n: int, size: int) -> pa.Array:
-    """Per owner (of ``n``) the values of its ``size`` lowest ranks, as lists."""
-    order = np.lexsort((rank, own))
-    own = own[order]
-    low = np.arange(len(own)) - np.searchsorted(own, np.arange(n))[own] < size
+    """Per owner (of ``n``, in order) the values of its ``size`` lowest ranks, as lists."""
+    begin = np.searchsorted(own, np.arange(n + 1))
+    low = _order(rank, own)[np.arange(len(own)) - begin[own] < size]
     offs = np.zeros(n + 1, np.int32)
-    np.cumsum(np.bincount(own[low], minlength=n), out=offs[1:])
-    return pa.ListArray.from_arrays(pa.array(offs), pa.array(value[order][low]))
+    np.cumsum(np.minimum(np.diff(begin), size), out=offs[1:])
+    return pa.ListArray.from_arrays(pa.array(offs), pa.array(value[low]))
 
 
 def fingerprints(df: DataFrame, k: int, least_words: int) -> DataFrame:
@@ -86,16 +90,14 @@ def fingerprints(df: DataFrame, k: int, least_words: int) -> DataFrame:
             n = len(lists)
             h, off = flat(lists, hasher)
             g, own = shingles(h, off, k)
-            order = np.lexsort((g, own))
-            g, own = g[order], own[order]
+            g = g[_order(g, own)]
             first = np.ones(len(g), bool)
             first[1:] = (g[1:] != g[:-1]) | (own[1:] != own[:-1])
             g, own = g[first], own[first]
             size = np.bincount(own, minlength=n)
             value = (g & np.uint64(0x7FFFFFFF)).astype(np.int32)
-            bits = np.zeros((n, BITS), np.uint64)
-            at = (g >> np.uint64(32)).astype(np.int64) % (64 * BITS)
-            np.bitwise_or.at(bits, (own, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+            bits = np.zeros(n * BITS * 64, bool)
+            bits[own * (BITS * 64) + ((g >> np.uint64(32)) % np.uint64(BITS * 64)).astype(np.int64)] = True
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids[keep], pa.int64()),
@@ -103,7 +105,7 @@ def fingerprints(df: DataFrame, k: int, least_words: int) -> DataFrame:
                     pa.array(size, pa.int32()),
                     _lowest(mix(g + np.uint64(1)), own, value, n, SIZE),
                     _lowest(mix(g + np.uint64(2)), own, value, n, SKETCH),
-                    pa.FixedSizeListArray.from_arrays(pa.array(bits.ravel().view(np.int64)), BITS).cast(pa.list_(pa.int64())),
+                    pa.FixedSizeListArray.from_arrays(pa.array(np.packbits(bits).view(np.int64)), BITS).cast(pa.list_(pa.int64())),
                 ],
                 ["id", "cls", "size", "print", "sketch", "bits"],
             )
@@ -150,11 +152,12 @@ def meeting_pairs(prints: DataFrame, least: float, crowded: int = CROWDED) -> Da
         sets = many.join(prints.select("id", "size", *(["print"] if split == 0 else []), "sketch"), "id")
         if split == 0:  # the two elements that make up the variant
             sets = sets.withColumn("used", F.flatten(F.array(*(F.when(variant(i, j) == F.col("key"), F.array(e[i], e[j])).otherwise(F.array().cast("array<int>")) for i, j in cores))))
-        small = sets.where(F.col("size") * least <= core + split)
-        groups.append(small.select(F.xxhash64("key", F.lit(split)).alias("key"), "id", "n"))
         further = F.filter("sketch", lambda x: ~F.array_contains(F.col("used"), x))
         ranked = F.array_sort(F.transform(further, lambda x: F.struct(F.xxhash64("key", x).alias("h"), x.alias("x"))))
-        parts = cut(sets.select("key", "id", "n", "used", F.explode(F.slice(ranked, 1, FAN)).alias("e")).select("key", "id", "n", "used", "e.*"), "parts")
+        small = F.col("size") * least <= core + split
+        parts = cut(sets.select("key", "id", "n", "used", small.alias("small"), F.explode_outer(F.slice(ranked, 1, FAN)).alias("e")).select("key", "id", "n", "used", "small", "e.*"), "parts")
+        groups.append(parts.where("small").select(F.xxhash64("key", F.lit(split)).alias("key"), "id", "n").distinct())
+        parts = parts.where("h IS NOT NULL")
         agree = parts.groupBy("key", "h").agg(F.count("*").alias("c"), F.first("n").alias("n")).groupBy("key")
         agree = agree.agg((F.sum(F.col("c") * (F.col("c") - 1)) / F.sum("c") / (F.first("n") - 1)).alias("agree"))
         family = cut(agree.where(F.col("agree") >= FAMILY).select("key"), "family")
@@ -239,10 +242,10 @@ def near_duplicates(df: DataFrame, k: int = 5, least: float = 0.8, least_words:
     once if equal.  Variants that more than ``crowded`` classes emit are split.
     """
     df = df.select("id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    prints = cut(fingerprints(df, k, least_words), "prints")
-    ids = prints.select("id", "cls")
-    members = ids.join(ids.groupBy("cls").agg(F.min("id").alias("cls_id")), "cls").select("id", "cls_id").distinct()
-    once = prints.groupBy("cls").agg(F.min_by(F.struct("id", "size", "print", "sketch", "bits"), "id").alias("p")).select("p.*")
+    prints = cut(fingerprints(df, k, least_words).withColumn("row", F.monotonically_increasing_id()), "prints")
+    classes = cut(prints.groupBy("cls").agg(F.min(F.struct("id", "row")).alias("m")).select("cls", F.col("m.id").alias("cls_id"), "m.row"), "classes")
+    members = prints.select("id", "cls").join(classes.select("cls", "cls_id"), "cls").select("id", "cls_id").distinct()
+    once = cut(prints.join(classes.select("row"), "row", "left_semi").select("id", "size", "print", "sketch", "bits"), "once")
     pairs = cut(possible(meeting_pairs(once, least, crowded), once, least), "pairs")
     texts = among(df, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     return members, verified(pairs, texts, k, least)
