@@ -86,17 +86,41 @@ def x09_trim_breaks(spark: SparkSession, d: str) -> DataFrame:
     return t.select("section_id", T.trim_breaks(F.concat(F.lit("---\n"), "text", F.lit("\n* * *"))).alias("text"))
 
 
-@query(r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS no
-  FROM (SELECT doc_id, regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n\z', '') AS t FROM documents WHERE text IS NOT NULL AND NOT contains(text, '```') AND NOT contains(text, '~~~') AND text NOT LIKE '---%') y),
-h AS (SELECT *, regexp_matches(x, '^#{1,3} ') AS head FROM l), s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY no) AS sec FROM h),
-g AS (SELECT doc_id, sec, coalesce(max(CASE WHEN head THEN trim(regexp_replace(regexp_extract(x, '^#{1,3} (.*)$', 1), '[# ]+$', '')) END), '') AS heading, coalesce(string_agg(CASE WHEN NOT head THEN x END, chr(10) ORDER BY no), '') AS body FROM s GROUP BY 1, 2)
-SELECT doc_id, heading, trim(body, E' \t\r\n') AS text, sha256(heading || chr(10) || trim(body, E' \t\r\n')) AS hash FROM g WHERE trim(body, E' \t\r\n') <> ''""")
+#: Front matter for a third of the documents, fences of both kinds for another, so that the texts hold what the functions are for.
+_FRONT, _FENCED = "---\nowner: team\n# no heading\n---\n", "\n```\n# no heading\n~~~\n\n\nkept code\n```\n# Tail\nbody\n ~~~ \n## inside\n```\nstill inside\n~~~\n---\n"
+
+
+def _planted(spark, d) -> DataFrame:
+    """``(doc_id, text)`` of all documents with a text, with front matter and fences put into two thirds of them."""
+    third = F.pmod("doc_id", F.lit(3))
+    text = F.when(third == 0, F.concat(F.lit(_FRONT), "text")).when(third == 1, F.concat("text", F.lit(_FENCED))).otherwise(F.col("text"))
+    return read_table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", text.alias("text"))
+
+
+def _e(s: str) -> str:
+    return "E'" + s.replace("\n", "\\n") + "'"
+
+
+_PLANTED = f"""p AS (SELECT doc_id, CASE (doc_id % 3 + 3) % 3 WHEN 0 THEN {_e(_FRONT)} || text WHEN 1 THEN text || {_e(_FENCED)} ELSE text END AS text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS no
+  FROM (SELECT doc_id, regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\\n\\z', '') AS t FROM p) y)"""
+
+
+@query(rf"""
+WITH RECURSIVE {_PLANTED},
+m AS (SELECT doc_id, min(no) FILTER (WHERE no > 1 AND x = '---') AS stop FROM l WHERE doc_id IN (SELECT doc_id FROM l WHERE no = 1 AND x = '---') GROUP BY 1),
+b AS (SELECT doc_id, x, no - coalesce(stop, 0) AS no, regexp_extract(x, '^ {{0,3}}(```|~~~)', 1) AS mark FROM l LEFT JOIN m USING (doc_id) WHERE no > coalesce(stop, 0)),
+f(doc_id, no, fence, head) AS (
+  SELECT doc_id, no, mark, mark = '' AND regexp_matches(x, '^#{{1,3}} ') FROM b WHERE no = 1
+  UNION ALL SELECT b.doc_id, b.no, CASE WHEN f.fence = '' THEN b.mark WHEN f.fence = b.mark THEN '' ELSE f.fence END, f.fence = '' AND b.mark = '' AND regexp_matches(b.x, '^#{{1,3}} ') FROM f JOIN b ON b.doc_id = f.doc_id AND b.no = f.no + 1),
+s AS (SELECT b.doc_id, b.no, x, head, sum(head::INT) OVER (PARTITION BY b.doc_id ORDER BY b.no) AS sec FROM b JOIN f ON f.doc_id = b.doc_id AND f.no = b.no),
+g AS (SELECT doc_id, sec, coalesce(max(CASE WHEN head THEN trim(regexp_replace(regexp_extract(x, '^#{{1,3}} (.*)$', 1), '[# ]+$', '')) END), '') AS heading, coalesce(string_agg(CASE WHEN NOT head THEN x END, chr(10) ORDER BY no), '') AS body FROM s GROUP BY 1, 2),
+c AS (SELECT doc_id, heading, trim(body, E' \t\r\n') AS t FROM g),
+t AS (SELECT doc_id, heading, CASE WHEN regexp_full_match(t, '(?:{_BR}\n)*{_BR}') THEN '' ELSE regexp_replace(regexp_replace(t, '\A(?:{_BR}\n)+', ''), '(?:\n{_BR})+\z', '') END AS text FROM c)
+SELECT doc_id, heading, text, sha256(heading || chr(10) || text) AS hash FROM t WHERE text <> ''""")
 def x10_rule_sections(spark: SparkSession, d: str) -> DataFrame:
-    """Sections of all documents (the SQL leaves out those with fences or front matter; tests cover both)."""
-    t = read_table(spark, d, "documents").where("text IS NOT NULL")
-    return t.select("doc_id", F.inline(T.rule_sections(F.col("text"))))
+    """Sections of all documents, with front matter and fences in two thirds of them."""
+    return _planted(spark, d).select("doc_id", F.inline(T.rule_sections(F.col("text"))))
 
 
 @query(r"""SELECT doc_id, regexp_replace(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '(?m)^[ \t\r]*\n(?:[ \t\r]*\n)*', chr(10), 'g'), '\s+\z', '') AS text FROM documents WHERE text IS NOT NULL""")
@@ -105,18 +129,31 @@ def x11_collapse_blank(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", T.collapse_blank(F.col("text")).alias("text"))
 
 
-@query(r"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS no
-  FROM (SELECT doc_id, regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n\z', '') AS t FROM documents WHERE text IS NOT NULL AND NOT contains(text, '```')) y)
-SELECT doc_id, regexp_replace(coalesce(string_agg(CASE WHEN regexp_matches(x, '^\s*(?:#|[-*+>] |\p{N})|^\s*(?:---|\*\*\*|___)\s*$') THEN x END, chr(10) ORDER BY no), ''), '\s+\z', '') AS text FROM l GROUP BY 1""")
+_COLLAPSED = r"regexp_replace(regexp_replace({}, '(?m)^[ \t\r]*\n(?:[ \t\r]*\n)*', chr(10), 'g'), '\s+\z', '')"
+
+
+@query(rf"""
+WITH {_PLANTED}, f AS (SELECT *, starts_with(trim(x), '```') AS mark, sum(starts_with(trim(x), '```')::INT) OVER (PARTITION BY doc_id ORDER BY no) AS n FROM l),
+k AS (SELECT doc_id, string_agg(CASE WHEN mark OR n % 2 = 1 OR regexp_matches(x, '^\s*(?:#|[-*+>] |\p{{N}})|^\s*(?:---|\*\*\*|___)\s*$') THEN x END, chr(10) ORDER BY no) AS t FROM f GROUP BY 1)
+SELECT doc_id, {_COLLAPSED.format("coalesce(t, '')")} AS text FROM k""")
 def x12_markdown_compress(spark: SparkSession, d: str) -> DataFrame:
-    """All documents (the SQL has no fold and leaves out those with fenced code; tests cover fences)."""
-    t = read_table(spark, d, "documents").where("text IS NOT NULL")
-    return t.select("doc_id", T.markdown_compress(F.col("text")).alias("text"))
+    """All documents, with front matter and fences in two thirds of them."""
+    return _planted(spark, d).select("doc_id", T.markdown_compress(F.col("text")).alias("text"))
 
 
-@query()
+_KEPT_LINES = r"coalesce(string_agg(CASE WHEN mark OR n % 2 = 1 OR regexp_matches(x, '^\s*(?:#|[-*+>] |\p{N})|^\s*(?:---|\*\*\*|___)\s*$') THEN x END, chr(10) ORDER BY no), '')"
+#: RE2 has no look-behind; a comment that follows a colon stays one in Spark, and no document has one.
+_NO_COMMENTS = r"regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '(?s:/\*.*?\*/)|(?m://[^\n]*$)', '', 'g')"
+_DECL = r"^\s*(?:export\s+|pub(?:\([a-z]+\))?\s+|default\s+|abstract\s+|async\s+)*(?:fn|struct|enum|impl|trait|class|interface|type|function|def|func)\b"
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id AS file_id, text, doc_type = 'code' AS code, string_split(regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '\n\z', ''), chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+q AS (SELECT file_id, unnest(l) AS x, generate_subscripts(l, 1) AS no, code FROM t WHERE NOT code), f AS (SELECT *, starts_with(trim(x), '```') AS mark, sum(starts_with(trim(x), '```')::INT) OVER (PARTITION BY file_id ORDER BY no) AS n FROM q),
+k AS (SELECT file_id, {_COLLAPSED.format(_KEPT_LINES)} AS t FROM f GROUP BY 1),
+b AS (SELECT t.file_id, strlen(text) AS bytes_0, CASE WHEN NOT code THEN strlen({_COLLAPSED.format("replace(text, chr(13) || chr(10), chr(10))")}) ELSE strlen({_COLLAPSED.format(_NO_COMMENTS)}) END AS bytes_1,
+  CASE WHEN NOT code THEN strlen(k.t) ELSE strlen(array_to_string([regexp_replace(x, '\s*[{{:]?\s*$', '') || ' {{ ... }}' FOR x IN l IF regexp_matches(x, '{_DECL}')], chr(10))) END AS bytes_2 FROM t LEFT JOIN k ON k.file_id = t.file_id)
+SELECT *, round_even(greatest((1 - bytes_2 / greatest(bytes_0, 1)) * 100, 0.0), 0)::INT || '%' AS rate FROM b""")
 def x15_compress(spark: SparkSession, d: str) -> DataFrame:
     """Bytes of every document at the three levels, and the rate of level 2."""
     t = docs(spark, d).where("text IS NOT NULL")
@@ -181,11 +218,17 @@ def s05_content_hash(spark: SparkSession, d: str) -> DataFrame:
     return t.select("doc_id", F.sha2("text", 256).alias("hash"), F.octet_length("text").alias("char_count"))
 
 
-@query("SELECT id, '/home/u/' || regexp_replace(replace(path, chr(92), '/'), '^(?:\\./)+', '') AS path FROM files WHERE path NOT LIKE '%..%' AND path NOT LIKE '%//%' AND path NOT LIKE '%/./%'")
+_DOTS = ("", "/../x", "//y/./z/", "/../../../../../../../..")
+
+
+@query(f"""
+WITH p AS (SELECT id, string_split('home/u/x/../' || replace(path, chr(92), '/') || CASE (id % 4 + 4) % 4 {" ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_DOTS))} END, '/') AS s FROM files WHERE path IS NOT NULL),
+f AS (SELECT id, list_reduce([['']] || [[x] FOR x IN s], lambda a, x: CASE WHEN x[1] IN ('', '.') OR a[1] = 'out' THEN a WHEN x[1] = '..' AND len(a) = 1 THEN ['out'] WHEN x[1] = '..' THEN a[1:len(a) - 1] ELSE a || x END) AS a FROM p)
+SELECT id, CASE WHEN a[1] = 'out' THEN NULL WHEN len(a) = 1 THEN '/' ELSE array_to_string(a, '/') END AS path FROM f""")
 def s21_absolute(spark: SparkSession, d: str) -> DataFrame:
-    """Paths of all files (the SQL resolves no inner dots or double slashes and leaves those paths out)."""
-    p = paths.absolute(F.concat(F.lit("/home/u/x/../"), "path"))
-    return read_table(spark, d, "files").where("path IS NOT NULL").select("id", p.alias("path"))
+    """Paths of all files; three quarters get dots, doubled slashes or more steps up than there are folders."""
+    tail = F.element_at(F.array(*map(F.lit, _DOTS)), (F.pmod("id", F.lit(4)) + 1).cast("int"))
+    return read_table(spark, d, "files").where("path IS NOT NULL").select("id", paths.absolute(F.concat(F.lit("/home/u/x/../"), "path", tail)).alias("path"))
 
 
 @query("SELECT id, CASE WHEN p = 'core' OR starts_with(p, 'core/') THEN 'core' WHEN starts_with(p, 'notes/') THEN 'notes' END AS root FROM (SELECT id, replace(path, chr(92), '/') AS p FROM files) x")
@@ -270,7 +313,12 @@ def s08_s15_tag_names(spark: SparkSession, d: str) -> DataFrame:
     return extract.tag_names(marked).select("file_id", "name", "line")
 
 
-@query()
+@query(r"""
+WITH c AS (SELECT column_name, column_type, row_number() OVER () AS n FROM (DESCRIBE calls)), t AS (SELECT *, regexp_replace(column_type, '(\[\])+$', '') AS one FROM c),
+k AS (SELECT column_name, n, column_type LIKE '%[]' AS many, CASE one WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
+  ELSE replace(replace(replace(replace(replace(one, 'STRUCT(', 'struct<'), ')', '>'), '"', ''), ' VARCHAR', ':string'), ', ', ',') END AS one FROM t)
+SELECT 'Parquet Schema' AS name, 'module' AS kind, 1 AS line, (SELECT count(*) FROM calls) || ' rows, ' || (SELECT count(*) FROM c) || ' columns' AS signature
+UNION ALL SELECT column_name, 'property', n + 1, CASE WHEN many THEN 'array<' || one || '>' ELSE one END FROM k""")
 def s10_parquet_schema(spark: SparkSession, d: str) -> DataFrame:
     return extract.parquet_schema(spark, f"{d}/calls.parquet")
 
@@ -297,3 +345,53 @@ SELECT file_id, line, name, kind, count(*) AS n FROM a WHERE name <> '' GROUP BY
 def x24_dependencies(spark: SparkSession, d: str) -> DataFrame:
     """X23, X24, X33 over the documents of code; the other languages are tested on fixtures."""
     return extract.dependencies(docs(spark, d)).groupBy("file_id", "line", "name", "kind").agg(F.count("*").alias("n"))
+
+
+#: Lines that every language's extractor has to read, at the end of every document.
+_SNIPPET = {
+    "typescript": "import { Left, Right as R } from 'm'\nimport * as All from \"n\"\nconst fs = require('fs')\nexport async function own(a) { other(new Box(a.open(1))) }\nif (x) own(y)",
+    "python": "from a.b import (one, two as t)\nimport os, run(3)\nasync def own(a): other(a)\nclass Own(Base): print(own(1))\nwith f(x): g(y)",
+    "go": "func (s *Server) Own(a int) { other(a) }\nfunc own() { go run(1); defer done() }\nfor i := range list(2) { s.call(i) }",
+}
+
+
+def _in_language(spark, d, language: str) -> DataFrame:
+    text = F.concat("text", F.lit("\n" + _SNIPPET[language]))
+    return extract.dependencies(docs(spark, d).select("file_id", F.lit(language).alias("language"), text.alias("text"))).groupBy("file_id", "line", "name", "kind").agg(F.count("*").alias("n"))
+
+
+def _in_language_sql(language: str, parts: str, quiet: str = "false") -> str:
+    snippet = _SNIPPET[language].replace("'", "''").replace("\n", "\\n")
+    banned = ", ".join(f"'{w}'" for w in extract.NO_CALL + extract.NO_CALL_BY[language])
+    defines = extract.DEFINES[language]
+    return rf"""WITH l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS line
+  FROM (SELECT doc_id, regexp_replace(replace(text || chr(10) || E'{snippet}', chr(13) || chr(10), chr(10)), '\n\z', '') AS t FROM documents WHERE text IS NOT NULL) y),
+a AS ({parts} UNION ALL SELECT doc_id, line, n, 'function_call' FROM (SELECT doc_id, line, x, unnest(regexp_extract_all(x, '([A-Za-z_]\w*)\s*\(', 1)) AS n FROM l WHERE NOT {quiet}) z WHERE n NOT IN ({banned}) AND n <> regexp_extract(x, '{defines}', 1))
+SELECT doc_id AS file_id, line, name, kind, count(*) AS n FROM a WHERE name <> '' GROUP BY 1, 2, 3, 4"""
+
+
+_TS = r"""SELECT doc_id, line, trim(unnest(string_split(regexp_extract(x, 'import\s+\{\s*([^}]+?)\s*\}\s+from\s+[''"][^''"]+[''"]', 1), ','))) AS name, 'import' AS kind FROM l
+  UNION ALL SELECT doc_id, line, regexp_extract(x, 'import\s+\*\s+as\s+(\w+)\s+from\s+[''"][^''"]+[''"]', 1), 'import' FROM l
+  UNION ALL SELECT doc_id, line, regexp_extract(x, '(?:const|var|let)\s+(\w+)\s*=\s*require\([''"].*?[''"]\)', 1), 'import' FROM l
+  UNION ALL SELECT doc_id, line, unnest(regexp_extract_all(x, '[\w_]+\.([\w_]+)\s*\(', 1)), 'function_call' FROM l
+  UNION ALL SELECT doc_id, line, unnest(regexp_extract_all(x, 'new\s+([A-Za-z_]\w*)\s*\(', 1)), 'type_reference' FROM l"""
+_FROM = r"regexp_extract(x, '^\s*from\s+[\w.]+\s+import\s+(.+)$', 1)"
+_PY = rf"""SELECT doc_id, line, name, kind FROM (SELECT doc_id, line, regexp_replace(trim(string_split(unnest(string_split({_FROM}, ',')), ' as ')[1]), '^[()\s]+|[()\s]+$', '', 'g') AS name, 'import' AS kind FROM l) z WHERE name <> '*'"""
+
+
+@query(_in_language_sql("typescript", _TS))
+def x25_typescript(spark: SparkSession, d: str) -> DataFrame:
+    """Every document read as TypeScript, with a snippet at its end."""
+    return _in_language(spark, d, "typescript")
+
+
+@query(_in_language_sql("python", _PY, rf"({_FROM} <> '' OR starts_with(ltrim(x), 'import '))"))
+def x26_python(spark: SparkSession, d: str) -> DataFrame:
+    """Every document read as Python, with a snippet at its end."""
+    return _in_language(spark, d, "python")
+
+
+@query(_in_language_sql("go", "SELECT doc_id, line, '' AS name, '' AS kind FROM l WHERE false"))
+def x27_go(spark: SparkSession, d: str) -> DataFrame:
+    """Every document read as Go, with a snippet at its end."""
+    return _in_language(spark, d, "go")
