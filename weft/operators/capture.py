@@ -104,15 +104,26 @@ class ChangeCapture:
         done = [n for n in self._names() if n.startswith("done-")]
         return self._get(f"plan-{max(int(n[5:]) for n in done)}")["to"] if done else {}
 
-    def plan(self, log: DataFrame) -> tuple[int, dict] | None:
-        """The open plan if there is one, else a new one written ahead; None if nothing is new."""
+    def is_open(self) -> bool:
+        """Whether a plan was written ahead and not committed."""
+        names = self._names()
+        return any(n.startswith("plan-") and f"done-{n[5:]}" not in names for n in names)
+
+    def plan(self, log: DataFrame, parts: int = 1) -> tuple[int, dict] | None:
+        """The open plan if there is one, else a new one written ahead; None if nothing is new.
+
+        A new plan takes the first of ``parts`` equal ranges of each partition's new offsets.
+        """
         names = self._names()
         plans = sorted(int(n[5:]) for n in names if n.startswith("plan-"))
         if plans and f"done-{plans[-1]}" not in names:
             return plans[-1], self._get(f"plan-{plans[-1]}")
         start = self.committed()
-        ends = {str(r.part): r.top for r in log.groupBy("part").agg(F.max("offset").alias("top")).collect()}  # PARTITIONS rows
-        to = {**start, **{p: max(t, start.get(p, t)) for p, t in ends.items()}}
+        ends = {str(r.part): (r.low, r.top) for r in log.groupBy("part").agg(F.min("offset").alias("low"), F.max("offset").alias("top")).collect()}  # PARTITIONS rows
+        to = dict(start)
+        for p, (low, top) in ends.items():
+            base = start.get(p, low - 1)
+            to[p] = max(base, base - (base - top) // parts)
         if to == start:
             return None
         n = plans[-1] + 1 if plans else 0
@@ -128,12 +139,12 @@ class ChangeCapture:
             within = within | (one if low is None else one & (F.col("offset") > low))
         return log.where(within)
 
-    def run(self, log: DataFrame, fail_before_commit: bool = False) -> DataFrame | None:
-        """One batch: plan, process, write to the sink, commit.  Returns the rows that the sink got.
+    def run(self, log: DataFrame, fail_before_commit: bool = False, parts: int = 1) -> DataFrame | None:
+        """One batch: plan, process, write to the sink, commit.  Returns the rows that the sink got, None if nothing is new.
 
-        ``fail_before_commit`` stops after the sink's write, as a lost driver would (for tests).
+        ``parts`` is that of :meth:`plan`; ``fail_before_commit`` stops after the sink's write, as a lost driver would (for tests).
         """
-        planned = self.plan(log)
+        planned = self.plan(log, parts)
         if planned is None:
             return None
         n, plan = planned
@@ -155,16 +166,19 @@ class ChangeCapture:
         return rows.groupBy("path").agg(F.max(F.struct("at", "id", "hash")).alias("m")).select("path", "m.id", "m.hash", "m.at")
 
 
-def pending_files(files: DataFrame, runs: DataFrame, items: DataFrame, folder: str | None = None) -> DataFrame:
+def pending_files(files: DataFrame, runs: DataFrame, items: DataFrame, folder: str | None = None, batches: int = 2) -> DataFrame:
     """``(id, state)`` of the files the next run must handle, each once, after all new versions are captured.
 
-    A fresh log starts at the first offset, so its batch covers all versions.  With a kept ``folder`` only new versions
-    are read, and the state of all committed batches is held against what runs attest.  Empty tables give no rows.
+    A batch that a failure left open is replayed first; then what is new since the last commit is captured in
+    ``batches`` batches, so that one of them is lost by a failure at most.  A fresh log starts at the first offset; with
+    a kept ``folder`` only new versions are read.  The state of all committed batches is held against what runs
+    attest.  Empty tables give no rows.
     """
     spark = files.sparkSession
     log = change_log(files)
     capture = ChangeCapture(spark, folder or new_path(spark, "capture"))
-    for _ in range(2):  # a plan left open by a failure, then what came since
-        if capture.run(log) is None:
-            break
+    if capture.is_open():
+        capture.run(log)
+    for parts in range(batches, 0, -1):
+        capture.run(log, parts=parts)
     return pending(capture.sink(), attested(runs, items))
