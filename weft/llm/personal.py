@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,8 @@ KINDS = ("email", "phone", "identity", "address", "name")
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "identity": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 #: Most texts that the labelers' reliabilities and the span classifier are fitted on.
 TRAIN_TEXTS = 30_000
+#: Most names that are sent to the executors.
+NAMES = 100_000
 
 _AT = r"(?:[@＠]|\s?[\[({<]\s?(?:at|AT|At)\s?[\])}>]\s?)"
 _DOT = r"(?:[.．]|\s?[\[({<]\s?(?:dot|DOT|Dot)\s?[\])}>]\s?)"
@@ -43,24 +45,37 @@ _SUFFIX = rf"(?i:(?:{'|'.join(_LONG)})\b|(?:{'|'.join(_SHORT)})\b\.?)"
 _UNIT = r"(?i:flat|unit|apt|apartment|suite|room|floor)\.? \w{1,5}\b"
 _STREET_WORD = r"(?!(?i:the|a|an|of|for|per|and|or|to|in|on|at|with|from|by|ms|is|was|lives|moved)\b)[A-Za-z][a-z'’-]+"
 _NUMBERED = re.compile(rf"(?<![\w./-])(?:{_UNIT},? )?\d{{1,5}}[a-z]?,? (?:{_STREET_WORD} ){{1,3}}?{_SUFFIX}(?:,? {_UNIT})?")
-_STREET_FIRST = re.compile(rf"\b(?:(?:[A-Z][a-z'’-]+ ){{1,3}}|(?<![A-Z])\b{_STREET_WORD} ){_SUFFIX},? \d{{1,5}}[a-z]?\b(?:,? {_UNIT})?")
+_STREET_FIRST = re.compile(rf"\b(?:(?:[A-Z][a-z'’-]+ ){{1,3}}|(?<![A-Z])\b{_STREET_WORD} ){_SUFFIX},? \d{{1,5}}[a-z]?\b(?![-. ]?\d)(?:,? {_UNIT})?")
 _JOINED = re.compile(rf"\b[^\W\d_]{{3,}}(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz) \d{{1,5}}[a-z]?\b(?:,? {_UNIT})?")
 _STREETS = tuple(f" {w}" for w in _LONG) + tuple(f" {w}{e}" for w in _SHORT for e in (" ", ".", ",", '"'))
+_ABROAD = tuple(f" {w} " for w in "rue avenue boulevard place chemin impasse allée quai via viale piazza corso calle avenida plaza paseo rua travessa ulica".split())
 _SIX = re.compile(r"\d\D?\d\D?\d\D?\d\D?\d\D?\d")
-_PAIR = re.compile(r"[A-Z][A-Za-z]*\.?,? [A-Z]")
-_CUES = ("signed", "name is", "cleared with", "reviewed with", "dump from", "from:", "ask ", "team,", "mr.", "ms.", "mrs.", "dr.", "user (", "next to", "deliver to", "device to", "row had", "contact ", "; ")
-_CAPS = re.compile(r"(?<![\w'./@-])(?=(?P<a>[A-Z][a-z]+|[A-Z]{3,}|[A-Z]\.?)(?P<sep>,? )(?P<b>[A-Z][a-z]+|[A-Z]{3,}|[A-Z]\.)(?![\w'/@]))")
-_CUED = re.compile(r"(?i:(?:\b(?:signed|name is|cleared with|reviewed with|dump from|ask|next to|deliver to|device to|row had|contact|and) |\b(?:from:|team,|mr\.|ms\.|mrs\.|dr\.) ?|\buser \(|; ?))(?=(?P<a>[A-Za-z]{2,}|[A-Z]\.?)(?P<sep>,? )(?P<b>[A-Za-z]{2,}|[A-Z]\.)(?![\w'/@]))")
-_RIGHT = re.compile(r"(,? )([A-Za-z]{2,}|[A-Z]\.)(?![\w'/@])")
-_LEFT = re.compile(r"(?<![\w'./@-])([A-Za-z]{2,}|[A-Z]\.?)(,? )$")
+# letters of the scripts that have case: Latin with all its extensions, Greek, Cyrillic, Armenian
+_LETTERS = [chr(c) for c in (*range(0x41, 0x590), *range(0x1E00, 0x2000)) if chr(c).isalpha()]
+_UP, _LOW = "".join(c for c in _LETTERS if c.isupper()), "".join(c for c in _LETTERS if c.islower()) + "̀-̣"
+_ANY = _UP + _LOW
+_FOREIGN = re.compile(rf"(?<![\w./-])\d{{1,5}}(?:\s?(?:bis|ter|[a-z]))?,? (?i:rue|avenue|boulevard|place|chemin|impasse|allée|quai|via|viale|piazza|corso|calle|avenida|plaza|paseo|rua|travessa|ulica)(?: (?i:de la|de las|de los|de|del|della|delle|di|du|des|da|do|dos|das))?(?:(?: (?:[lLdD]['’])?[{_UP}][\w'’-]*){{1,3}}| [{_LOW}][\w'’-]*)")
+_PAIR = re.compile(rf"[{_UP}][{_ANY}]*\.?,? [{_UP}]")
+_FIRST, _SECOND = rf"[{_ANY}]{{2,}}|[{_UP}]\.?", rf"[{_ANY}]{{2,}}|[{_UP}]\."
+_CAPS = re.compile(rf"(?<![\w'./@-])(?=(?P<a>[{_UP}][{_LOW}]+|[{_UP}]{{3,}}|[{_UP}]\.?)(?P<sep>,? )(?P<b>[{_UP}][{_LOW}]+|[{_UP}]{{3,}}|[{_UP}]\.)(?![\w'/@]))")
+_NEXT = re.compile(rf"\s?(?<!\w)(?=(?P<a>{_FIRST})(?P<sep>,? )(?P<b>{_SECOND})(?![\w'/@]))")
+_RIGHT = re.compile(rf"(,? )({_SECOND})(?![\w'/@])")
+_LEFT = re.compile(rf"(?<![\w'./@-])({_FIRST})(,? )$")
 _WORDS = re.compile(r"[^\W_]+|[^\w\s]")
-_SHAPE = re.compile(r"[A-Z]+|[a-z]+|\d")
+_LETTERED = re.compile(r"[^\W\d_]{3,}")
+_SHAPE = re.compile(rf"[{_UP}]+|[{_LOW}]+|\d")
 
 
 def _shape(s: str) -> str:
     return _SHAPE.sub(lambda m: "9" if m.group()[0].isdigit() else "A" if m.group()[0].isupper() else "a", s)[:24]
 
 
+def lowered(text: str) -> str:
+    """``text`` in lower case with every character in its place: a letter whose lower case is longer stays as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 class Names:
     """The name list as lookup tables, with a model of the letters of names."""
 
@@ -83,8 +98,32 @@ class Names:
         if both:
             self._auto.make_automaton()
         self.any = bool(both)
+        self._lefts, self._first = None, []
         self._memo: dict[str, float] = {}
 
+    def learn(self, lefts: list[str]) -> None:
+        """Contexts (``l2 l1``, in lower case) after which any two words are a candidate."""
+        import ahocorasick
+
+        self._first = [b for a, b in (c.rsplit(" ", 1) for c in sorted(lefts)) if a == "^"]
+        keys = {k for a, b in (c.rsplit(" ", 1) for c in lefts) if a != "^" for k in (f"{a} {b}", a + b if not (a[-1:].isalnum() and b[:1].isalnum()) else f"{a} {b}")}
+        self._lefts = ahocorasick.Automaton() if keys else None
+        for k in keys:
+            self._lefts.add_word(k, len(k))
+        if keys:
+            self._lefts.make_automaton()
+
+    def follow(self, text: str, low: str) -> Iterator[tuple[int, int]]:
+        """The two words after each learnt context."""
+        ends = [len(f) for f in self._first if low.startswith(f)]
+        for end, size in self._lefts.iter(low) if self._lefts is not None else ():
+            s = end - size + 1
+            if s == 0 or not (low[s - 1].isalnum() or low[s - 1] == "_") or not low[s].isalnum():
+                ends.append(end + 1)
+        for at in ends:
+            if m := _NEXT.match(text, at):
+                yield m.start("a"), m.end("b")
+
     @staticmethod
     def _letters(w: str) -> list[str]:
         w = f"^{w}$"
@@ -113,7 +152,7 @@ class Names:
 def spans(text: str, names: Names) -> list[tuple[str, int, int]]:
     """All candidate spans ``(kind, start, end)`` of a text."""
     out: set[tuple[str, int, int]] = set()
-    low = text.lower()
+    low = lowered(text)
     mails: list[tuple[int, int]] = []
     if "@" in text or "＠" in text or "at]" in low or "at)" in low or "at}" in low or "at>" in low or "at ]" in low:
         mails = [m.span() for m in _EMAIL.finditer(text)]
@@ -136,12 +175,13 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int]]:
     if any(w in low for w in _STREETS):
         for r in (_NUMBERED, _STREET_FIRST):
             out.update(("address", *m.span()) for m in r.finditer(text))
+    if any(w in low for w in _ABROAD):
+        out.update(("address", *m.span()) for m in _FOREIGN.finditer(text))
     if any(w in low for w in _JOINED_ENDS):
         out.update(("address", *m.span()) for m in _JOINED.finditer(text))
     pairs = [(m.start("a"), m.end("b")) for m in _CAPS.finditer(text)] if _PAIR.search(text) else []
-    if any(c in low for c in _CUES):
-        pairs += [(m.start("a"), m.end("b")) for m in _CUED.finditer(text)]
-    for s, e in names.hits(low) if len(low) == len(text) else ():
+    pairs += names.follow(text, low)
+    for s, e in names.hits(low):
         if m := _RIGHT.match(text, e):
             pairs.append((s, m.end(2)))
         if m := _LEFT.search(text, max(0, s - 24), s):
@@ -154,12 +194,7 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int]]:
 
 #: Labelers vote 1 (a mention), -1 (none) or 0 (no opinion).
 _PHONE_SHAPES = re.compile(r"(?:\+|00)\d[\d ().\-]{7,18}|\(\d{2,5}\)[ -]?\d[\d \-]{4,9}|0\d{2,4}[ -]\d{3,6}(?:[ -]\d{3,4})?|\d{3}[-.]\d{3}[-.]\d{4}")
-_PHONE_CUES = frozenset("call text phone number tel mobile ring dial fax contact or then".split())
-_NUMBER_WORDS = frozenset("lines line build offset port version started id task step parser bump issue commit row measured at and between took".split())
-_CODE_CUES = frozenset("passport tax personal id identity national ssn profile prints no number pasted contains says insurance".split())
-_PLACE_CUES = frozenset("at to says redact lives moved address street deliver ship label".split())
-_NO_PLACE = frozenset("passes tiles took ms files lines".split())
-_COMMON = frozenset("the a an and or of to in on with for from by at is was it this that he she they we you branch tag release team user about mr ms dr mrs".split())
+_FUNCTION = frozenset("the a an and or of to in on with for from by at is was it this that he she they we you user about mr ms dr mrs".split())
 
 
 def _around(text: str, s: int, e: int) -> tuple[list[str], list[str]]:
@@ -167,13 +202,58 @@ def _around(text: str, s: int, e: int) -> tuple[list[str], list[str]]:
     return _WORDS.findall(text[max(0, s - 30) : s].lower())[-3:], _WORDS.findall(text[e : e + 24].lower())[:3]
 
 
-def judge(text: str, kind: str, s: int, e: int, names: Names, contexts: frozenset[str]) -> tuple[list[int], list[str]]:
+def _contexts(text: str, kind: str, s: int, e: int) -> tuple[str, str, str, str]:
+    """A candidate's contexts, with its kind: two words before and one after, two words before, one word before, one word after."""
+    left, right = _around(text, s, e)
+    l1, l2, r1 = (left[-1] if left else "^"), (left[-2] if len(left) > 1 else "^"), (right[0] if right else "$")
+    return f"{kind}:{l2} {l1}|{r1}", f"{kind}:{l2} {l1}", f"{kind}:{l1}", f"{kind}:|{r1}"
+
+
+def sure(text: str, kind: str, s: int, e: int, names: Names) -> bool:
+    """Whether a candidate's own characters leave little doubt; the contexts of each kind are learnt from these."""
+    body = text[s:e]
+    if kind == "email":
+        return body.count("@") == 1 and bool(re.search(r"\.[A-Za-z-]{2,}$", body)) and text[e : e + 1] != ":"
+    if kind == "phone":
+        return body[0] in "+(" and bool(_PHONE_SHAPES.fullmatch(body))
+    if kind == "identity":
+        return bool(_CODES.fullmatch(body))
+    if kind == "address":
+        words = re.findall(r"[^\W\d_]{2,}", body)
+        return len(words) > 1 and all(w[0].isupper() for w in words)
+    a, b = re.split(r",? ", lowered(body), maxsplit=1)
+    return a in names.given and b in names.family or a in names.family and b in names.given
+
+
+class Contexts:
+    """What is known of contexts: how often candidates in them are sure, counted over all texts."""
+
+    def __init__(self, counts: dict[str, tuple[int, int]]):
+        self.share = {c: hits / n for c, (n, hits) in counts.items()}
+
+    def names(self) -> list[str]:
+        """The contexts ``l2 l1`` in which names are usual."""
+        return [c[5:] for c, p in self.share.items() if c.startswith("name:") and "|" not in c and " " in c and p >= 0.4]
+
+    def votes(self, text: str, kind: str, s: int, e: int) -> tuple[int, int]:
+        """By the words before and by the word after: 1 where candidates of the kind are usually sure, -1 where they hardly ever are, else 0."""
+        *before, after = (self.share.get(c) for c in _contexts(text, kind, s, e))
+        known = max((p for p in before if p is not None), default=0.2)
+        return self._vote(known), self._vote(0.2 if after is None else after)
+
+    @staticmethod
+    def _vote(share: float) -> int:
+        return 1 if share >= 0.4 else -1 if share < 0.02 else 0
+
+
+def judge(text: str, kind: str, s: int, e: int, names: Names, contexts: Contexts) -> tuple[list[int], list[str]]:
     """The labelers' votes on a candidate, and its features for the span classifier."""
     body = text[s:e]
     left, right = _around(text, s, e)
     l1, l2, r1 = (left[-1] if left else "^"), (left[-2] if len(left) > 1 else "^"), (right[0] if right else "$")
     shape = _shape(body)
-    f = ["bias", f"l1={l1}", f"l2={l2},{l1}", f"r1={r1}"]
+    context, after = contexts.votes(text, kind, s, e)
+    f = ["bias", f"l1={l1}", f"l2={l2},{l1}", f"r1={r1}", f"context={context}", f"after={after}"]
     if kind == "email":
         host = re.split(_AT, body, maxsplit=1)[-1]
         dotted = bool(re.search(rf"{_DOT}[A-Za-z-]{{2,}}$", host)) or " dot " in host.lower()
@@ -181,7 +261,7 @@ def judge(text: str, kind: str, s: int, e: int, names: Names, contexts: frozense
         scope = text[s - 1 : s] in ("@", "/") or text[e : e + 1] in ("/", "@")
         plain = body.count("@") == 1
         # an address ends where its host does: what runs on into a path is a remote
-        votes = [1 if dotted and not remote else -1, -1 if remote else 0, -1 if scope else 1 if not remote else 0, 1 if plain and dotted and not remote else 0, 1 if l1 in (":", "<", "=", "mail", "to", "is", "from", ",") else 0]
+        votes = [1 if dotted and not remote else -1, -1 if remote else 0, -1 if scope else 1 if not remote else 0, 1 if plain and dotted and not remote else 0, context]
         f += [f"dotted={dotted}", f"remote={remote}", f"scope={scope}", f"plain={plain}", f"end={host[-4:].lower()}"]
     elif kind == "phone":
         n = sum(c.isdigit() for c in body)
@@ -189,30 +269,29 @@ def judge(text: str, kind: str, s: int, e: int, names: Names, contexts: frozense
         date = bool(re.match(r"(?:19|20)\d\d-\d\d-\d\d", body)) or text[e : e + 1] == ":"
         version = bool(re.fullmatch(r"\d{1,2}(?:\.\d{1,4}){2,4}", body)) and not re.fullmatch(r"\d{3}\.\d{3}\.\d{4}", body)
         bare = body.isdigit() and not body.startswith("0")
-        votes = [1 if good else -1, -1 if date or version else 0, -1 if bare else 0, 1 if l1 in _PHONE_CUES or l2 in _PHONE_CUES or l1 == "=" else 0, -1 if l1 in _NUMBER_WORDS and not good else 0, -1 if _CODES.fullmatch(body) else 0, 1 if 9 <= n <= 13 and not bare else -1]
-        f += [f"good={good}", f"date={date}", f"version={version}", f"bare={bare}", f"n={n}", f"shape={shape}", f"code={bool(_CODES.fullmatch(body))}", f"sign={body[0] if not body[0].isdigit() else body[:1] == '0'}"]
+        numbered = any(m.span(1) == (s, e) for m in _CODE_CUE.finditer(text, max(0, s - 40), min(len(text), e + 1)))
+        votes = [1 if good else -1, -1 if date or version else 0, -1 if bare else 0, context, after, -1 if not good and context < 1 else 0, -1 if _CODES.fullmatch(body) else 0, -1 if numbered else 0, 1 if 9 <= n <= 13 and not bare else -1]
+        f += [f"good={good}", f"date={date}", f"version={version}", f"bare={bare}", f"n={n}", f"shape={shape}", f"code={bool(_CODES.fullmatch(body))}", f"numbered={numbered}", f"sign={body[0] if not body[0].isdigit() else body[:1] == '0'}"]
     elif kind == "identity":
         known = bool(_CODES.fullmatch(body))
         digits = sum(c.isdigit() for c in body)
-        cue = bool({*left} & _CODE_CUES)
+        cue = any(m.span(1) == (s, e) for m in _CODE_CUE.finditer(text, max(0, s - 40), min(len(text), e + 1)))
         lettered = body[:1].isalpha()
         phone = bool(_PHONE_SHAPES.fullmatch(body)) and not known
-        votes = [1 if known else 0, 1 if cue else 0, -1 if l1 in _NUMBER_WORDS and l1 not in _CODE_CUES else 0, -1 if phone else 0, -1 if digits < 6 else 1, 1 if r1 in ("born", "in", "into", ",", '"') else 0]
+        votes = [1 if known else 0, 1 if cue else 0, context, after, -1 if phone and not cue else 0, -1 if digits < 6 else 1]
         f += [f"known={known}", f"cue={cue}", f"digits={digits}", f"shape={shape}", f"phone={phone}", f"lettered={lettered}"]
     elif kind == "address":
         words = re.findall(r"[^\W\d_]+", re.sub(r"\b\d+[a-z]?\b", "", re.split(rf",? {_UNIT}", body)[0]))
         caps = all(w[0].isupper() for w in words)
         suffix = words[-1].lower() if words else ""
         street = words[-2].lower() if len(words) > 1 else suffix
-        cue = bool({*left} & _PLACE_CUES) or l1 in ('"', ",", "(")
-        bad = r1 in _NO_PLACE or l1 in _NO_PLACE or r1.isalpha() and r1 not in _COMMON | {"before", "last", "and", "in"} and not caps
         coined = street not in names.common or caps
-        votes = [1 if caps else 0, 1 if cue else -1, -1 if bad else 0, 1 if coined else -1, 1 if re.search(_UNIT + "$", body) else 0, -1 if l1 in ("took", "has", "have", "with", "of") else 0]
-        f += [f"caps={caps}", f"cue={cue}", f"bad={bad}", f"suffix={suffix}", f"coined={coined}", f"words={len(words)}", f"caps,cue={caps},{cue}", f"first={body[:1].isdigit()}", f"end3={street[-4:]}"]
+        votes = [1 if caps else 0, context, after, 1 if coined else -1, 1 if re.search(_UNIT + "$", body) else 0]
+        f += [f"caps={caps}", f"suffix={suffix}", f"coined={coined}", f"words={len(words)}", f"caps,context={caps},{context}", f"first={body[:1].isdigit()}", f"end3={street[-4:]}"]
     else:
         m = re.match(r"([^,\s]+)(,? )(\S+)$", body)
         a, sep, b = m.group(1), m.group(2), m.group(3)
-        x, y = a.rstrip(".").lower(), b.rstrip(".").lower()
+        x, y = lowered(a.rstrip(".")), lowered(b.rstrip("."))
         gx, fx, gy, fy = x in names.given, x in names.family, y in names.given, y in names.family
         ix, iy = len(x) == 1, len(y) == 1
         px, py = (1.0 if gx or fx else 0.0 if ix else names.morph(x)), (1.0 if gy or fy else 0.0 if iy else names.morph(y))
@@ -221,23 +300,23 @@ def judge(text: str, kind: str, s: int, e: int, names: Names, contexts: frozense
         initial = ix and not swapped and a[0].isupper() or iy and swapped and b[0].isupper()
         other = py if ix else px if iy else min(px, py)
         case = _shape(a)[:2] + ("," if swapped else "") + _shape(b)[:2]
-        lowered = a[0].islower() and b[0].islower()
+        small = a[0].islower() and b[0].islower()
         mixed = a[0].islower() != b[0].islower()
-        common = x in _COMMON or y in _COMMON
-        known_context = f"{l2} {l1}|{r1}" in contexts or f"{l2} {l1}" in contexts
+        common = x in _FUNCTION or y in _FUNCTION or (x in names.common and not (gx or fx)) or (y in names.common and not (gy or fy))
+        known_context = context == 1
         votes = [
             1 if fits else 0,
             1 if initial and (fx or fy or other > 0.6) else 0,
             1 if other > 0.7 else -1 if other < 0.3 else 0,
             -1 if common else 0,
-            1 if known_context else 0,
+            context,
             -1 if mixed and not initial else 0,
             -1 if (gx and gy) or (fx and fy and not gx and not gy) else 0,
         ]
         bucket = lambda p: "h" if p > 0.8 else "m" if p > 0.4 else "l"
         role = lambda g, f_, i: "i" if i else "b" if g and f_ else "g" if g else "f" if f_ else "-"
         rx, ry = role(gx, fx, ix), role(gy, fy, iy)
-        f += [f"case={case}", f"roles={rx}{sep}{ry}", f"morph={bucket(px)}{bucket(py)}", f"roles,morph={rx}{sep}{ry},{bucket(px)}{bucket(py)}", f"context={known_context}", f"common={common}", f"mixed={mixed}", f"lowered={lowered}", f"x={x[-4:]}", f"y={y[-4:]}", f"sep={sep}", f"roles,context={rx}{sep}{ry},{known_context}", f"morph,context={bucket(px)}{bucket(py)},{known_context}", f"morph,case={bucket(px)}{bucket(py)},{case}", f"morph,common={bucket(px)}{bucket(py)},{common}"]
+        f += [f"case={case}", f"roles={rx}{sep}{ry}", f"morph={bucket(px)}{bucket(py)}", f"roles,morph={rx}{sep}{ry},{bucket(px)}{bucket(py)}", f"common={common}", f"mixed={mixed}", f"lowered={small}", f"x={x[-4:]}", f"y={y[-4:]}", f"sep={sep}", f"roles,context={rx}{sep}{ry},{known_context}", f"morph,context={bucket(px)}{bucket(py)},{known_context}", f"morph,case={bucket(px)}{bucket(py)},{case}", f"morph,common={bucket(px)}{bucket(py)},{common}"]
     return votes, [f"{kind}:{k}" for k in f]
 
 
@@ -265,7 +344,7 @@ def reliabilities(votes: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.n
 
 def word_counts(texts: list[str]) -> Counter[str]:
     """In how many of ``texts`` each word occurs."""
-    return Counter(w for t in texts for w in set(re.findall(r"[a-z]{3,}", t.lower())))
+    return Counter(w for t in texts for w in set(_LETTERED.findall(t.lower())))
 
 
 def common_words(counts: dict[str, int], n: int) -> set[str]:
@@ -274,36 +353,37 @@ def common_words(counts: dict[str, int], n: int) -> set[str]:
 
 
 def context_counts(texts: list[str], names: Names) -> tuple[Counter[str], Counter[str]]:
-    """The contexts of candidate names in ``texts``: how often each occurs, and how often with a pair of the name list."""
+    """The contexts of candidates in ``texts``: how often each occurs, and how often with a sure candidate."""
     every: Counter[str] = Counter()
-    seen: Counter[str] = Counter()
+    hits: Counter[str] = Counter()
     for t in texts:
         for k, s, e in spans(t, names):
-            if k == "name":
-                left, right = _around(t, s, e)
-                l1, l2, r1 = (left[-1] if left else "^"), (left[-2] if len(left) > 1 else "^"), (right[0] if right else "$")
-                a, b = re.split(r",? ", t[s:e].lower(), maxsplit=1)
-                fits = a in names.given and b in names.family or a in names.family and b in names.given
-                for c in (f"{l2} {l1}|{r1}", f"{l2} {l1}"):
-                    every[c] += 1
-                    seen[c] += fits
-    return every, seen
+            known = sure(t, k, s, e, names)
+            for c in _contexts(t, k, s, e):
+                every[c] += 1
+                hits[c] += known
+    return every, hits
+
+
+def usual(n: int) -> float:
+    """How many of ``n`` texts a context must occur in to be known."""
+    return max(3.0, n / 200_000)
 
 
 class Finder:
     """The trained span classifier with its tables; built on the driver, used on executors.
 
-    ``names`` and ``contexts`` come from all texts of a corpus (see ``train``); without them ``texts`` are all there is.
+    ``common`` words and ``counts`` of contexts come from all texts of a corpus (see ``train``); without them ``texts`` are all there is.
     """
 
-    def __init__(self, name_rows: list[tuple[str, str]], texts: list[str], names: Names | None = None, contexts: frozenset[str] | None = None):
-        if names is None:
+    def __init__(self, name_rows: list[tuple[str, str]], texts: list[str], common: set[str] | None = None, counts: dict[str, tuple[int, int]] | None = None):
+        if common is None:
             common = common_words(word_counts(texts), len(texts))
-            names = Names(name_rows, sorted(common), common)
-        if contexts is None:
-            every, seen = context_counts(texts, names)
-            contexts = frozenset(c for c, n in seen.items() if n >= 3 and n >= 0.4 * every[c])
-        self.names, self.contexts = names, contexts
+        if counts is None:
+            every, hits = context_counts(texts, Names(name_rows, [], set()))
+            counts = {c: (n, hits[c]) for c, n in every.items() if n >= usual(len(texts))}
+        self.names, self.contexts = Names(name_rows, sorted(common), common), Contexts(counts)
+        self.names.learn(self.contexts.names())
         per_text = [(t, spans(t, self.names)) for t in texts]
         by: dict[str, list] = {k: [] for k in KINDS}
         for t, ss in per_text:
@@ -340,12 +420,15 @@ class Finder:
         return "".join(out) + text[at:]
 
 
-def _counted(texts: DataFrame, count: Callable[[list[str]], tuple[Counter[str], Counter[str]]]) -> DataFrame:
-    """``(key, n, hits)``: two counts of each key that ``count`` finds in the texts of a batch, summed over all of ``texts(text)``."""
+def corpus_counts(texts: DataFrame, names: Names) -> DataFrame:
+    """``(key, n, hits)`` over all ``texts(text)``: texts of each word (``word:...``), candidates and sure ones of each context."""
+    sent = texts.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, hits = count(b.column("text").to_pylist())
+            values = b.column("text").to_pylist()
+            n, hits = context_counts(values, sent.value)
+            n.update({f"word:{w}": c for w, c in word_counts(values).items()})
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64()), pa.array([hits[k] for k in n], pa.int64())], ["key", "n", "hits"])
 
@@ -353,26 +436,25 @@ def _counted(texts: DataFrame, count: Callable[[list[str]], tuple[Counter[str],
 
 
 def train(values: DataFrame, name_list: DataFrame, most: int = TRAIN_TEXTS) -> Finder:
-    """A finder with the words and contexts of all texts and the name list (at most 100,000 names).
+    """A finder with the words and contexts of all texts and the name list (at most ``NAMES`` names).
 
     Reliabilities and the classifier are fitted on at most ``most`` texts, taken by a hash.  The driver gets the words of
-    at least a thousandth of the texts, and the contexts in which names of the list are usual.
+    at least a thousandth of the texts, and the contexts that at least one of 200,000 texts has.
     """
-    rows = name_list.where("name IS NOT NULL").select("name", "name_part").distinct().limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("the name list is meant to be small; filter it to 100,000 names")
-    name_rows = sorted((r.name, r.name_part) for r in rows)
+    rows = name_list.where("name IS NOT NULL").select("name", "name_part").distinct().limit(NAMES + 1).collect()
+    if len(rows) > NAMES:
+        raise ValueError(f"the name list is meant to be small; filter it to {NAMES} names")
+    name_rows = sorted((r.name, r.name_part or "") for r in rows)
     full = values.where("text <> ''")
     n = full.count()
-    words = _counted(full.select("text"), lambda texts: (word_counts(texts), Counter())).where(F.col("n") >= max(5, n / 1000))
-    common = {r.key for r in words.select("key").collect()}
-    names = Names(name_rows, sorted(common), common)
-    sent = values.sparkSession.sparkContext.broadcast(names)
-    contexts = _counted(full.select("text"), lambda texts: context_counts(texts, sent.value)).where("hits >= 3 AND hits >= 0.4 * n")
-    known = frozenset(r.key for r in contexts.select("key").collect())
+    is_word = F.startswith("key", F.lit("word:"))
+    counted = corpus_counts(full.select("text"), Names(name_rows, [], set())).where(F.col("n") >= F.when(is_word, max(5, n / 1000)).otherwise(usual(n)))
+    got = counted.collect()  # at most a thousand times the words of a text, and 200,000 times the contexts of a text
+    common = {r.key[5:] for r in got if r.key.startswith("word:")}
+    contexts = {r.key: (r.n, r.hits) for r in got if not r.key.startswith("word:")}
     pool = full.where(F.pmod(F.xxhash64("tbl", "id", "field"), F.lit(1_000_000)) < int(min(1.0, 1.2 * most / max(n, 1)) * 1_000_000) + 1)
     texts = [r.text for r in pool.orderBy(F.xxhash64("tbl", "id", "field")).select("text").limit(most).collect()]
-    return Finder(name_rows, texts, names, known)
+    return Finder(name_rows, texts, common, contexts)
 
 
 def found(values: DataFrame, name_list: DataFrame) -> DataFrame:
