@@ -4,8 +4,9 @@
    the stream is cut into blocks of ``BLOCK`` tokens.  A document's place in the stream is a running
    total over range-sorted chunks, so a source with a third of all rows is no single task.
 2. **Draw.**  Each output shard of ``SLOTS`` slots draws how many slots each source gets from a
-   multinomial with the target weights, seeded by (seed, shard).  What a source can't give within
-   its cap goes to the others by their weights.
+   multinomial with the planned shares, seeded by (seed, shard): the target weights, where what a source
+   can't give within its cap goes to the others.  What the draws put beyond a source's slots goes,
+   in a last shard, to those that got less: no slot is lost and the shares are the planned ones.
 3. **Map.**  A source's j-th slot takes block ``perm_e(j mod n)`` of its n blocks, with epoch
    e = j div n and perm_e a keyed bijection on 0..n-1.  So each block is used in every epoch once,
    never more than ``max_repeats`` times, and no list of blocks is ever shuffled or collected.
@@ -29,8 +30,8 @@ from weft.runtime import cut
 
 #: Tokens of a block and slots of an output shard; large corpora take larger blocks.
 BLOCK, SLOTS = 64, 4096
-#: Below this part of what the next source allows, a source no longer limits the size of the mix.
-STARVED = 0.25
+#: Without a total: how much of the mix, at most, may be off its target because sources are at their caps.
+MOST_OFF = 0.05
 
 
 def token_counts(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
@@ -65,42 +66,51 @@ def permuted(i: np.ndarray, n: np.ndarray | int, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def plan(sources: pd.DataFrame, total: int | None = None, block: int = BLOCK, starved: float = STARVED) -> pd.DataFrame:
-    """Adds ``cap``, ``weight`` and ``draws`` (in blocks) to ``sources(source, target_share, max_repeats, blocks)``.
+def plan(sources: pd.DataFrame, total: int | None = None, most_off: float = MOST_OFF) -> pd.DataFrame:
+    """Adds ``cap``, ``weight`` and ``goal`` (in tokens) and ``planned_share`` to ``sources(source, target_share, max_repeats, tokens_available)``.
 
-    ``weight`` is the target share over the sources that have a block.  Without ``total`` (in tokens) the mix is the largest in
-    which these sources reach their weights within their caps, with room for the spread of the draw.  A source that alone would
-    shrink the mix to less than ``starved`` of what the next one allows doesn't limit it: it gives all it can.  What a source
-    can't give within its cap goes to the others by their weights.
+    ``weight`` is the target share over the sources that have tokens and may be used.  A source gives its weight of
+    ``total``, or all that its cap allows; what it can't give goes to the others by their weights.  Without ``total``
+    the mix is the largest in which the parts that sources at their caps can't give sum to ``most_off`` of it.
     """
     s = sources.copy()
-    s["cap"] = s.blocks * s.max_repeats.clip(lower=0)
+    s["cap"] = (s.tokens_available * s.max_repeats.clip(lower=0)).astype(np.float64)
     live = (s.cap > 0) & (s.target_share > 0)
     s["weight"] = np.where(live, s.target_share, 0.0)
     s["weight"] = s.weight / s.weight.sum() if live.any() else 0.0
-    cap, w = s.cap.to_numpy(np.float64), s.weight.to_numpy(np.float64)
-    reach = sorted(max(c - 3 * np.sqrt(c), c / 2) / x for c, x in zip(cap, w) if x > 0)
-    while len(reach) > 1 and reach[0] < starved * reach[1]:
-        reach.pop(0)
-    most = (reach[0] if reach else 0.0) if total is None else min(total // block, cap[live].sum())
-    left, got = float(int(most)), np.zeros(len(s))
+    cap, w = np.where(live, s.cap, 0.0), s.weight.to_numpy(np.float64)
+    left = float(min(total, cap.sum())) if total is not None else 0.0
+    if total is None and live.any():
+        low, high = 0.0, cap.sum()
+        for _ in range(100):  # what is missing rises with the size of the mix
+            mid = (low + high) / 2
+            low, high = (mid, high) if np.maximum(w - cap / mid, 0).sum() <= most_off else (low, mid)
+        left = low
+    got = np.zeros(len(s))
     for _ in range(len(s) + 1):
-        room = cap - got
-        able = (w > 0) & (room > 1e-9)
+        able = (w > 0) & (cap - got > 1e-6)
         if left < 1e-6 or not able.any():
             break
-        take = np.minimum(np.where(able, w / w[able].sum() * left, 0.0), room)
+        take = np.minimum(np.where(able, w / w[able].sum() * left, 0.0), cap - got)
         got += take
         left -= take.sum()
-    s["draws"] = got
+    s["goal"], s["planned_share"] = got, got / max(got.sum(), 1e-9)
     return s
 
 
-def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, block: int = BLOCK, slots: int = SLOTS, folder: str = TOKENIZERS) -> tuple[DataFrame, DataFrame]:
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Non-negative numbers rounded to whole ones of the same (rounded) sum, the largest remainders up."""
+    out = np.floor(x + 1e-9).astype(np.int64)
+    up = np.argsort(-(x - out), kind="stable")[: max(0, int(round(x.sum())) - int(out.sum()))]
+    out[up] += 1
+    return out
+
+
+def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, block: int = BLOCK, slots: int = SLOTS, folder: str = TOKENIZERS, most_off: float = MOST_OFF) -> tuple[DataFrame, DataFrame]:
     """The mix of ``docs(doc_id, source, text)`` to ``targets(source, target_share, max_repeats)``.
 
     Returns ``chosen(doc_id, source, tokens, repeats, tokens_used)`` and ``shares(source, target_share, weight,
-    max_repeats, docs, tokens_available, tokens_used, actual_share)``.  ``repeats`` is the largest number
+    max_repeats, docs, tokens_available, planned_share, tokens_used, actual_share)``.  ``repeats`` is the largest number
     of times any token of the document occurs in the mix, at most max_repeats.  Sources are compared
     trimmed and in lower case; documents of other sources, null sources and texts without tokens are
     not chosen.  Rows repeated under one doc_id count as one document (the longest text).  A target
@@ -116,29 +126,35 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     placed = cut(running_total(placed, ["source"], ["_at", "doc_id"], F.col("tokens"), "start").drop("_at"), "mix-placed")
     have = placed.groupBy("source").agg(F.count("*").alias("docs"), F.sum("tokens").alias("tokens_available")).toPandas()
     s = goal.merge(have, on="source", how="left").fillna({"docs": 0, "tokens_available": 0})
-    s["blocks"] = (s.tokens_available // block).astype(int)  # the stream's last, shorter piece is left out
-    s = plan(s, total_tokens, block)
-    cap, draws = s.cap.to_numpy().astype(np.int64), s.draws.to_numpy(np.float64)
-    n_slots = int(round(draws.sum()))
-    rate = draws / max(draws.sum(), 1)
+    s = plan(s, total_tokens, most_off)
+    available = s.tokens_available.to_numpy(np.int64)
+    n_blocks = -(-available // block)  # the last block of a source may be shorter
+    cap = n_blocks * s.max_repeats.clip(lower=0).to_numpy(np.int64)
+    draws = s.goal.to_numpy(np.float64) * n_blocks / np.maximum(available, 1)
+    due = np.minimum(rounded(draws), cap)
+    n_slots = int(due.sum())
+    rate = draws / draws.sum() if n_slots else draws
     n_shards = -(-n_slots // slots)
-    names, n_blocks = s.source.tolist(), s.blocks.to_numpy().astype(np.int64)
+    names = s.source.tolist()
 
     def shard_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(int(i), c, int(x)) for i in b.column(0).to_pylist() for c, x in enumerate(np.random.default_rng([seed, i]).multinomial(min(slots, n_slots - i * slots), rate / rate.sum()))]
+            rows = [(int(i), c, int(x)) for i in b.column(0).to_pylist() for c, x in enumerate(np.random.default_rng([seed, i]).multinomial(min(slots, n_slots - i * slots), rate))]
             c = list(zip(*rows)) if rows else [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int64())], ["shard", "src", "n"])
 
     schema = "shard long, src int, n long"
     drawn = spark.range(n_shards).mapInArrow(shard_counts, schema) if n_slots else spark.createDataFrame([], schema)
-    table = chunked(drawn, ["src"], ["shard"], "mix-shards")
+    drawn = cut(drawn, "mix-drawn")
+    sums = {r.src: r.n for r in drawn.groupBy("src").agg(F.sum("n").alias("n")).collect()}  # one row per target
+    extra = spark.createDataFrame([(n_shards, i, int(x) - sums.get(i, 0)) for i, x in enumerate(due) if x > sums.get(i, 0)], schema)
+    table = chunked(drawn.unionByName(extra), ["src"], ["shard"], "mix-shards")
     starts = running_total(table, ["src"], ["shard"], F.col("n"), "first").where("n > 0")
 
     def slots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             src, n, first = (b.column(c).to_numpy(zero_copy_only=False) for c in ("src", "n", "first"))
-            n = np.maximum(np.minimum(n, cap[src] - first), 0)  # the draws beyond a cap are void
+            n = np.maximum(np.minimum(n, due[src] - first), 0)  # what the draw put beyond a source's slots is in the last shard, for others
             each = np.repeat(src, n)
             j = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             size = n_blocks[each]
@@ -152,7 +168,7 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None
     covers = placed.withColumn("src", number[F.col("source")].cast("int")).select("*", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor(last / block))).alias("block"))
     overlap = F.least(last, (F.col("block") + 1) * block - 1) - F.greatest("start", F.col("block") * block) + 1
     chosen = cut(covers.join(used, ["src", "block"]).groupBy("doc_id", "source", "tokens").agg(F.max("times").alias("repeats"), F.sum(overlap * F.col("times")).alias("tokens_used")), "mix-chosen")
-    report = spark.createDataFrame(s[["source", "target_share", "weight", "max_repeats", "docs", "tokens_available"]].astype({"docs": "int64", "tokens_available": "int64", "max_repeats": "int64"}), "source string, target_share double, weight double, max_repeats long, docs long, tokens_available long")
+    report = spark.createDataFrame(s[["source", "target_share", "weight", "max_repeats", "docs", "tokens_available", "planned_share"]].astype({"docs": "int64", "tokens_available": "int64", "max_repeats": "int64"}), "source string, target_share double, weight double, max_repeats long, docs long, tokens_available long, planned_share double")
     got = chosen.groupBy("source").agg(F.sum("tokens_used").alias("tokens_used"))
     whole = chosen.agg(F.sum("tokens_used").alias("_all"))
     shares = report.join(got, "source", "left").join(whole, how="left").select(*report.columns, F.coalesce("tokens_used", F.lit(0)).alias("tokens_used"), F.coalesce(F.col("tokens_used") / F.col("_all"), F.lit(0.0)).alias("actual_share"))
