@@ -134,18 +134,43 @@ def test_office(spark, rows):
     assert rows(got, "path", "name", "signature") == [("d.docx", "d.docx", "Hello world"), ("p.pptx", "Slide 1", "no 1"), ("p.pptx", "Slide 2", "no 10"), ("p.pptx", "Slide 3", "no 2"), ("x.xlsx", "Data", None), ("x.xlsx", "Notes", None)]
 
 
+def folders(spark, rows, t0):
+    # the first candidate starts the timer and later ones don't move it; what comes during a sync waits for its end
+    ev = [("w", ms, p) for ms, p in ((0, "a"), (900, "b"), (950, "a"), (1000, "c"), (1999, "d"), (2500, "e"), (9000, "f"))] + [("v", 0, "a"), ("v", 5000, "a"), (None, 7, "x"), ("w", 5, None)]
+    df = spark.createDataFrame([(w, t0 + timedelta(milliseconds=ms), p) for w, ms, p in ev], "workspace string, event_time timestamp, path string")
+    at = lambda t: round((t - t0).total_seconds() * 1000)
+    shaped = lambda got: [(w, at(b), p, at(s)) for w, b, p, s in rows(got, "workspace", "batch_at", "path", "first_seen")]
+    plain = shaped(events.folder_batches(df))
+    assert plain == [(None, 1007, "x", 7), ("v", 1000, "a", 0), ("v", 6000, "a", 5000), ("w", 1000, "a", 0), ("w", 1000, "b", 900), ("w", 2000, "c", 1000), ("w", 2000, "d", 1999), ("w", 3500, "e", 2500), ("w", 10000, "f", 9000)]
+    slow = shaped(events.folder_batches(df, sync_ms=700))
+    assert [r for r in slow if r[0] == "w"] == [("w", 1000, "a", 0), ("w", 1000, "b", 900), ("w", 2700, "c", 1000), ("w", 2700, "d", 1999), ("w", 2700, "e", 2500), ("w", 10000, "f", 9000)]
+    assert rows(events.folder_batches(df.limit(0))) == []
+    src, out, state = new_path(spark, "fo"), new_path(spark, "fo-out"), new_path(spark, "fo-state")
+    df.unionByName(spark.createDataFrame([("zz", t0 + timedelta(hours=1), "late")], df.schema)).coalesce(1).write.parquet(src)
+    q = events.folder_batches(spark.readStream.schema(df.schema).parquet(src)).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    q.awaitTermination()
+    assert shaped(spark.read.parquet(out)) == plain
+
+
 def test_streams_equal_batches(spark, rows):
     t0 = datetime(2024, 1, 1)
     ev = [("a", 0, "create"), ("a", 300, "change"), ("a", 2000, "change"), ("b", 100, "change"), ("b", 200, "delete"), ("z", 900_000, "change")]
     df = spark.createDataFrame([(t0 + timedelta(milliseconds=ms), p, op) for p, ms, op in ev], events.EVENT)
     batch = rows(events.settled(df), "path", "op", "n")
     assert batch == [("a", "change", 1), ("a", "change", 2), ("b", "delete", 2), ("z", "change", 1)]
+    # a delete acts at once, cancels what waits, and what comes after it starts anew
+    more = [("c", 0, "change"), ("c", 100, "delete"), ("c", 200, "create"), ("c", 699, "change"), ("c", 1199, "change"), ("d", 0, "delete"), ("d", 10, "delete")]
+    got = events.settled(spark.createDataFrame([(t0 + timedelta(milliseconds=ms), p, op) for p, ms, op in more], events.EVENT))
+    at = lambda t: round((t - t0).total_seconds() * 1000)
+    assert [(p, at(t), o, n) for p, t, o, n in rows(got, "path", "settled_at", "op", "n")] == [("c", 100, "delete", 2), ("c", 1199, "change", 2), ("c", 1699, "change", 1), ("d", 0, "delete", 1), ("d", 10, "delete", 1)]
+    assert rows(events.settled(df.limit(0))) == []
     src = new_path(spark, "ev")
     df.write.parquet(src)
     out, state = new_path(spark, "ev-out"), new_path(spark, "ev-state")
     q = events.settled(spark.readStream.schema(df.schema).parquet(src)).writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out)
     q.awaitTermination()
     assert rows(spark.read.parquet(out), "path", "op", "n") == batch[:3]  # the last burst is still open
+    folders(spark, rows, t0)
     polls = spark.createDataFrame([("r", t0 + timedelta(seconds=i), x) for i, x in enumerate(["m", "m", None, "f", "f", "m"])], "repo string, event_time timestamp, ref string")
     assert rows(events.branch_changes(polls), "before", "ref") == [("f", "m"), ("m", "f")]
 

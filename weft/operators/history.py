@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from weft.functions import text as T
 from weft.operators.asof import asof
+from weft.operators.prefix import chunked, neighbour
 from weft.operators.retrieve import bm25_recall
 
 DAY_MS = 86_400_000.0
@@ -98,9 +99,10 @@ def files_after_request(events: DataFrame) -> DataFrame:
 
 
 def consecutive_once(df: DataFrame, key: list[str], order: list[str], within: str) -> DataFrame:
-    """Rows whose key differs from the row before (adjacent repeats only)."""
-    w = W.partitionBy(within).orderBy(*order)
-    same = F.lit(True)
-    for k in key:
-        same = same & F.col(k).eqNullSafe(F.lag(k).over(w))
-    return df.withColumn("_n", F.row_number().over(w)).withColumn("_same", same).where("_n = 1 OR NOT _same").drop("_n", "_same")
+    """Rows whose key differs from the row before (adjacent repeats only); nulls are equal.
+
+    ``order`` should make rows unique within ``within``.  Rows are range-sorted into chunks: one value of ``within`` may hold a third of them.
+    """
+    columns = df.columns
+    table = chunked(df.withColumn("_key", F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"{c}_") for c in key], *[F.col(c).isNull().alias(f"{c}_n") for c in key])), [within], order, "adjacent")
+    return neighbour(table, [within], order, ["_key"], back=True).where("_prev__key IS NULL OR _prev__key <> _key").select(*columns)

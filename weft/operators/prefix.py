@@ -59,3 +59,15 @@ def running_total(table: DataFrame, keys: list[str], order: list[str], value: Co
     within = table.withColumn("_in", F.coalesce(F.sum(v).over(w), F.lit(0)))
     joined = null_safe(within, offsets(table, keys, {"v": v}), [*keys, CHUNK])
     return joined.withColumn(out, F.col("_in") + F.coalesce(F.col("_o_v"), F.lit(0))).drop("_o_v", "_in")
+
+
+def neighbour(table: DataFrame, keys: list[str], order: list[str], values: list[str], back: bool = False) -> DataFrame:
+    """Adds ``_next_<value>`` (or ``_prev_<value>``) to a table of :func:`chunked`: the values of the key's row after (before) this one, null at the end."""
+    w = W.partitionBy(*keys, CHUNK).orderBy(*order)
+    v, o = F.struct(*values), F.struct(*order)
+    edge = table.groupBy(*keys, CHUNK).agg((F.max_by(v, o) if back else F.min_by(v, o)).alias("_edge"))
+    step, near = (F.lag, F.lag("_edge")) if back else (F.lead, F.lead("_edge"))
+    edge = edge.select(*keys, CHUNK, near.over(W.partitionBy(*keys).orderBy(CHUNK)).alias("_far"))
+    j = null_safe(table.withColumn("_near", step(v).over(w)), edge, [*keys, CHUNK]).withColumn("_at", F.coalesce("_near", "_far"))
+    name = "_prev_" if back else "_next_"
+    return j.select(*table.columns, *[F.col(f"_at.{c}").alias(name + c) for c in values])

@@ -137,26 +137,61 @@ def _drained(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(out)
 
 
-@query("""WITH e AS (SELECT user_id::VARCHAR AS path, ts, CASE event_type WHEN 'error' THEN 'delete' WHEN 'view' THEN 'create' ELSE 'change' END AS op, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
-g AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 1 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY ts) AS s FROM e)
-SELECT path, strftime(max(ts) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS settled_at, max_by(op, ts) AS op, count(*) AS n FROM g GROUP BY path, s""")
+_HOUR_MS = 3_600_000
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR AS path, ts, CASE event_type WHEN 'error' THEN 'delete' WHEN 'view' THEN 'create' ELSE 'change' END AS op FROM events),
+x AS (SELECT *, op = 'delete' OR coalesce(lead(ts) OVER (PARTITION BY path ORDER BY ts, op) - ts >= INTERVAL 1 HOUR, true) AS ends FROM e),
+g AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY path ORDER BY ts, op ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS burst FROM x)
+SELECT path, strftime(max(ts) + CASE WHEN bool_or(op = 'delete') THEN INTERVAL 0 HOUR ELSE INTERVAL 1 HOUR END, '%Y-%m-%d %H:%M:%S') AS settled_at, max_by(op, ts) AS op, count(*) AS n FROM g GROUP BY path, burst""")
 def z01_z02_settled(spark: SparkSession, d: str) -> DataFrame:
-    """Bursts of a path, with a quiet time of an hour for these slow events."""
-    return stream.settled(_file_events(spark, d), "1 hour").select("path", F.date_format("settled_at", "yyyy-MM-dd HH:mm:ss").alias("settled_at"), "op", "n")
+    """Bursts of a path, with a quiet time of an hour for these slow events; deletes come out at once and cancel what waits."""
+    return stream.settled(_file_events(spark, d), _HOUR_MS).select("path", F.date_format("settled_at", "yyyy-MM-dd HH:mm:ss").alias("settled_at"), "op", "n")
 
 
 @query()
 def z01_streamed(spark: SparkSession, d: str) -> DataFrame:
-    """Z1 through Structured Streaming; open bursts stay in the state until the watermark passes them."""
-    got = _drained(stream.settled(_as_stream(_file_events(spark, d), "file-events"), "1 hour"), "settled")
+    """Z1, Z2 through Structured Streaming; open bursts stay in the state until the watermark passes them."""
+    got = _drained(stream.settled(_as_stream(_file_events(spark, d), "file-events"), _HOUR_MS), "settled")
     return got.select("path", "settled_at", "op", "n")
 
 
-@query("SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS batch_start, user_id::VARCHAR AS path, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen FROM events GROUP BY time_bucket(INTERVAL 6 HOUR, ts), user_id")
-def z04_folder_batches(spark: SparkSession, d: str) -> DataFrame:
-    got = stream.folder_batches(_file_events(spark, d), "6 hours")
+def _folder_events(spark, d):
+    t = read_table(spark, d, "events")
+    return t.select((F.col("user_id") % 20).cast("string").alias("workspace"), F.col("ts").cast("timestamp").alias("event_time"), F.col("user_id").cast("string").alias("path"))
+
+
+def _folders(spark, d, every_ms: int, sync_ms: int) -> DataFrame:
+    got = stream.folder_batches(_folder_events(spark, d), every_ms, sync_ms)
+    fmt = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return got.select("workspace", fmt("batch_at"), "path", fmt("first_seen"))
+
+
+def _folders(spark, d, every_ms: int, sync_ms: int) -> DataFrame:
+    got = stream.folder_batches(_folder_events(spark, d), every_ms, sync_ms)
     fmt = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
-    return got.select(fmt("batch_start"), "path", fmt("first_seen"))
+    return got.select("workspace", fmt("batch_at"), "path", fmt("first_seen"))
+
+
+def _folder_query(every: str, sync: str) -> str:
+    """Batches one by one: the timer starts with the first candidate left, or when the sync before ends."""
+    return f"""WITH RECURSIVE e AS (SELECT (user_id % 20)::VARCHAR AS w, ts, user_id::VARCHAR AS path FROM events),
+r(w, due) AS (SELECT w, min(ts) + INTERVAL {every} FROM e GROUP BY w
+  UNION ALL SELECT w, greatest(first, due + INTERVAL {sync}) + INTERVAL {every} FROM (SELECT r.w, any_value(r.due) AS due, min(e.ts) AS first FROM r JOIN e ON e.w = r.w AND e.ts >= r.due GROUP BY r.w) x),
+b AS (SELECT w, due, lag(due, 1, TIMESTAMP '1970-01-01') OVER (PARTITION BY w ORDER BY due) AS since FROM r)
+SELECT e.w AS workspace, strftime(due, '%Y-%m-%d %H:%M:%S') AS batch_at, path, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_seen FROM e ASOF JOIN b ON e.w = b.w AND e.ts >= b.since GROUP BY e.w, due, path"""
+
+
+@query(_folder_query("6 HOUR", "0 HOUR"))
+def z04_folder_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Z4 with a timer of six hours for these slow events; workspaces are users modulo 20."""
+    return _folders(spark, d, 6 * _HOUR_MS, 0)
+
+
+@query(_folder_query("1 HOUR", "5 HOUR"))
+def z04_while_syncing(spark: SparkSession, d: str) -> DataFrame:
+    """Z4 where a sync takes five hours: candidates are held and start the timer when it ends."""
+    return _folders(spark, d, _HOUR_MS, 5 * _HOUR_MS)
 
 
 @query("SELECT user_id::VARCHAR AS path, arg_max(op, ts) AS op, count(*) AS n FROM (SELECT user_id, ts, CASE event_type WHEN 'error' THEN 'delete' WHEN 'view' THEN 'create' ELSE 'change' END AS op FROM events) x GROUP BY 1")

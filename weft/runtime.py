@@ -75,7 +75,21 @@ def cut(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table of :func:`cut` that nothing reads any more, and let go of the shuffle files of finished jobs.
+
+    Shuffle files go when the driver's garbage collector finds their jobs unreachable, by default after half an hour; a long
+    job with several large steps would hold all of them until then.
+    """
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.cut_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    spark._jvm.System.gc()
 
 
 #: Tables below so many bytes are not worth a shuffle.
