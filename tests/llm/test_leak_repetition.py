@@ -35,7 +35,7 @@ def leaky():
     return docs, items
 
 
-@pytest.mark.parametrize("bound", [leak.BOUND, 1])
+@pytest.mark.parametrize("bound", [leak.BOUND, 700])
 def test_leaks_equal_brute_force(spark, rows, leaky, bound):
     docs, items = leaky
     got = leak.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), bound=bound)

@@ -7,14 +7,15 @@ fingerprint in it: no shared span of 12 words is missed.  Fingerprints of docume
 are joined and every hit is extended word by word to the longest shared run around it; runs of
 ``least`` words or more are leaks.
 
-Held-out sets are small next to a corpus.  Their fingerprints are counted: up to ``BOUND`` they
-go to the executors as sorted arrays and the corpus is read once, without a shuffle; beyond
-it, document fingerprints are shuffled and joined, and only the colliding pairs meet again.
+Held-out sets are small next to a corpus.  Their texts are taken in blocks of a bounded size, and each
+block goes to the executors as sorted arrays: the corpus is read once per block and never shuffled, so a
+fingerprint that a third of all documents have is no hot key.  The usual set is one block.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from weft.llm.words import Hasher, flat, shingles, words
 
 K, WINDOW = 8, 5
-#: Most item words (8 bytes each, with as many fingerprints at most) that are sent to every executor.
-BOUND = 4_000_000
+#: Characters of a block of items (about as many words and fingerprints of 8 bytes as a sixth of it) that executors hold at once.
+BOUND = 8_000_000
 
 
 def winnow(h: np.ndarray, off: np.ndarray, k: int = K, w: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,14 +99,17 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = K + WINDOW - 1, bound:
 
     ``docs(doc_id, text)``, ``items(item_id, text)``.  Null ids, null and empty texts and texts of fewer
     than ``least`` words leak nothing.  Of equally long runs the first counts.  ``least`` must not be
-    below k + w - 1, from where on every run is found.
+    below k + w - 1, from where on every run is found.  Items are taken in blocks of about ``bound`` characters (a
+    longer one is a block of its own); the result doesn't depend on it.
     """
     if least < K + WINDOW - 1:
         raise ValueError(f"runs below {K + WINDOW - 1} words are not guaranteed to be found")
     docs = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     items = items.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text").distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    found = _broadcast_hits(docs, items, least) if chars <= 2 * bound else _shuffled_hits(docs, items, least)
+    blocks = max(1, -(-chars // bound))
+    parts = [_hits_of(docs, items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i), least) for i in range(blocks)]
+    found = reduce(DataFrame.unionByName, parts)
     return found.groupBy("doc_id", "item_id").agg(F.max(F.struct("length", (-F.col("begin")).alias("b"))).alias("m")).select("doc_id", "item_id", (-F.col("m.b")).alias("begin"), F.col("m.length").alias("length"))
 
 
@@ -117,8 +121,8 @@ def _out(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32())], ["doc_id", "item_id", "begin", "length"])
 
 
-def _broadcast_hits(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
-    rows = items.collect()  # at most 2 * BOUND characters, checked
+def _hits_of(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
+    rows = items.collect()  # one block
     sent = docs.sparkSession.sparkContext.broadcast(_Items(np.array([r.item_id for r in rows], np.int64), [words(r.text) for r in rows]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,30 +138,3 @@ def _broadcast_hits(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
                 yield _out([(ids[t], int(it.ids[m]), begin, n) for (t, m), (begin, n) in best.items()])
 
     return docs.mapInArrow(run, _OUT)
-
-
-def _shuffled_hits(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            f, own, _ = winnow(*flat(_lists(b), hasher))
-            yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int64)), pa.array(ids[own], pa.int64())], ["f", "id"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
-        for b in batches:
-            rows = []
-            for d, i, x, y in zip(*(c.to_pylist() for c in b.columns)):
-                h, off = flat([words(x)], hasher)
-                hits = list(_hits(h, off, _Items(np.array([i]), [words(y)]), least))
-                if hits:
-                    _, _, begin, n = max(hits, key=lambda r: (r[3], -r[2]))
-                    rows.append((d, i, begin, n))
-            yield _out(rows)
-
-    d = docs.mapInArrow(prints, "f long, id long").distinct().withColumnRenamed("id", "doc_id")
-    e = items.mapInArrow(prints, "f long, id long").distinct().withColumnRenamed("id", "item_id")
-    pairs = d.join(e, "f").select("doc_id", "item_id").distinct()
-    both = pairs.join(docs.withColumnRenamed("text", "x"), "doc_id").join(items.withColumnRenamed("text", "y"), "item_id")
-    return both.select("doc_id", "item_id", "x", "y").mapInArrow(verify, _OUT)

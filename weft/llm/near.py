@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.llm.words import Hasher, flat, hashed_counts, mix, shingles, words
-from weft.runtime import cut
+from weft.runtime import cut, drop
 
 SIZE, HALF = 8, 6
 #: Most records of a variant that is not split; elements a split extends it by; elements of the sketch they come from.
@@ -47,8 +47,9 @@ CROWDED, FAN, SKETCH = 32, 8, 24
 SPLITS = 5
 #: Agreement in the further elements from which the records of a crowded variant are a family.
 FAMILY = 0.5
-#: Variants are shuffled as 48-bit hashes: the zero bytes compress, a chance collision costs one comparison.
-VARIANT = (1 << 48) - 1
+#: Variants are shuffled as hashes of so many bits more than it takes to number them: the zero bytes compress, and one in
+#: 4,096 meets another one by chance, which costs a comparison.
+SPARE_BITS = 12
 #: Records of a group that one task pairs with the whole group.
 BLOCK = 2048
 #: Longs of a record's bitmap of shingles, and bins of the bitmap of record ids (bins / 8 bytes).
@@ -133,23 +134,26 @@ def meeting_pairs(prints: DataFrame, least: float, crowded: int = CROWDED) -> Da
     """``(a, b)``, a < b, of all ``prints(id, size, print, sketch)`` that meet in a variant half the radius away."""
     core = SIZE - HALF
     assert core == 2
+    mask = (1 << min(63, (prints.count() * SIZE * (SIZE - 1) // 2).bit_length() + SPARE_BITS)) - 1
     e = [F.get("print", F.lit(i)) for i in range(SIZE)]
 
     def variant(i: int, j: int) -> Column:
-        return F.xxhash64(F.least(e[i], e[j]), F.greatest(e[i], e[j])).bitwiseAND(VARIANT)
+        return F.xxhash64(F.least(e[i], e[j]), F.greatest(e[i], e[j])).bitwiseAND(mask)
 
     cores = [(i, j) for j in range(SIZE) for i in range(j)]
     rows = prints.select(F.explode(F.array_compact(F.array(*(F.when(e[j].isNotNull(), variant(i, j)) for i, j in cores)))).alias("key"), "id")
     single = prints.where(F.col("size") * least <= 1).select(F.explode("print").alias("e"), "id").select(F.xxhash64("e").alias("key"), "id")
     groups = [_counted(single)]
+    met, sketches = cut(_counted(rows), "met"), prints.select("id", "size", "print", "sketch")
     for split in range(SPLITS + 1):
-        met = cut(_counted(rows), "met")
         few, many = met.where(F.col("n") <= crowded), met.where(F.col("n") > crowded)
         if split == SPLITS or not many.take(1):
             groups.append(met.select("key", "id", "n"))
             break
         groups.append(few.select("key", "id", "n"))
-        sets = many.join(prints.select("id", "size", *(["print"] if split == 0 else []), "sketch"), "id")
+        if split == 1:  # from here on only the records of variants that are still crowded
+            sketches = cut(sketches.select("id", "size", "sketch").join(many.select("id").distinct(), "id", "left_semi"), "sketches")
+        sets = many.join(sketches, "id")
         if split == 0:  # the two elements that make up the variant
             sets = sets.withColumn("used", F.flatten(F.array(*(F.when(variant(i, j) == F.col("key"), F.array(e[i], e[j])).otherwise(F.array().cast("array<int>")) for i, j in cores))))
         further = F.filter("sketch", lambda x: ~F.array_contains(F.col("used"), x))
@@ -158,12 +162,14 @@ def meeting_pairs(prints: DataFrame, least: float, crowded: int = CROWDED) -> Da
         parts = cut(sets.select("key", "id", "n", "used", small.alias("small"), F.explode_outer(F.slice(ranked, 1, FAN)).alias("e")).select("key", "id", "n", "used", "small", "e.*"), "parts")
         groups.append(parts.where("small").select(F.xxhash64("key", F.lit(split)).alias("key"), "id", "n").distinct())
         parts = parts.where("h IS NOT NULL")
-        agree = parts.groupBy("key", "h").agg(F.count("*").alias("c"), F.first("n").alias("n")).groupBy("key")
-        agree = agree.agg((F.sum(F.col("c") * (F.col("c") - 1)) / F.sum("c") / (F.first("n") - 1)).alias("agree"))
+        counts = cut(parts.groupBy("key", "h").agg(F.count("*").alias("c"), F.first("n").alias("n")), "counts")
+        agree = counts.groupBy("key").agg((F.sum(F.col("c") * (F.col("c") - 1)) / F.sum("c") / (F.first("n") - 1)).alias("agree"))
         family = cut(agree.where(F.col("agree") >= FAMILY).select("key"), "family")
         groups.append(many.join(family, "key", "left_semi").select("key", "id", "n"))
-        rows = parts.join(family, "key", "left_anti").select(F.col("h").alias("key"), "id", F.array_append("used", F.col("x")).alias("used"))
-    return paired(reduce(DataFrame.unionByName, groups)).distinct()
+        longer = counts.where("c > 1").join(family, "key", "left_anti").select("h", "c")
+        met = cut(parts.select("h", "id", F.array_append("used", F.col("x")).alias("used")).join(longer, "h").select(F.col("h").alias("key"), "id", "used", F.col("c").alias("n")), "met")
+    # by one of the two ids, as the next join needs it; equal pairs meet there too
+    return paired(reduce(DataFrame.unionByName, groups)).repartition("a").distinct()
 
 
 def possible(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
@@ -171,14 +177,13 @@ def possible(pairs: DataFrame, prints: DataFrame, least: float) -> DataFrame:
 
     A bit set in one bitmap only stands for at least one shingle that the other record has not.
     """
-    x = prints.select(F.col("id").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("ba"))
-    y = prints.select(F.col("id").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("bb"))
+    x, y = (prints.select(F.col("id").alias(s), F.col("size").alias(f"size_{s}"), *(F.get("bits", F.lit(i)).alias(f"{s}{i}") for i in range(BITS))) for s in "ab")
 
     def only(p: str, q: str) -> Column:
-        return reduce(Column.__add__, (F.bit_count(F.get(p, F.lit(i)).bitwiseAND(F.bitwise_not(F.get(q, F.lit(i))))) for i in range(BITS)))
+        return reduce(Column.__add__, (F.bit_count(F.col(f"{p}{i}").bitwiseAND(F.bitwise_not(F.col(f"{q}{i}")))) for i in range(BITS)))
 
-    both = F.least(F.col("sa") - only("ba", "bb"), F.col("sb") - only("bb", "ba"))
-    return pairs.join(x, "a").join(y, "b").where(both * (1 + least) >= least * (F.col("sa") + F.col("sb")) - 1e-6).select("a", "b")
+    both = F.least(F.col("size_a") - only("a", "b"), F.col("size_b") - only("b", "a"))
+    return pairs.join(x, "a").join(y, "b").where(both * (1 + least) >= least * (F.col("size_a") + F.col("size_b")) - 1e-6).select("a", "b")
 
 
 def among(rows: DataFrame, ids: DataFrame, bins: int = BINS) -> DataFrame:
@@ -244,8 +249,10 @@ def near_duplicates(df: DataFrame, k: int = 5, least: float = 0.8, least_words:
     df = df.select("id", "text").where(F.col("text").isNotNull() & F.col("id").isNotNull())
     prints = cut(fingerprints(df, k, least_words).withColumn("row", F.monotonically_increasing_id()), "prints")
     classes = cut(prints.groupBy("cls").agg(F.min(F.struct("id", "row")).alias("m")).select("cls", F.col("m.id").alias("cls_id"), "m.row"), "classes")
-    members = prints.select("id", "cls").join(classes.select("cls", "cls_id"), "cls").select("id", "cls_id").distinct()
-    once = cut(prints.join(classes.select("row"), "row", "left_semi").select("id", "size", "print", "sketch", "bits"), "once")
+    members = cut(prints.select("id", "cls").join(classes.select("cls", "cls_id"), "cls").select("id", "cls_id").distinct(), "members")
+    copies = cut(prints.select("cls", "row").join(classes.select("cls", F.col("row").alias("first")), "cls").where("row <> first").select("row"), "copies")
+    once = cut(prints.join(copies, "row", "left_anti").select("id", "size", "print", "sketch", "bits"), "once")
+    drop(prints)
     pairs = cut(possible(meeting_pairs(once, least, crowded), once, least), "pairs")
     texts = among(df, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     return members, verified(pairs, texts, k, least)

@@ -161,6 +161,18 @@ def _grams(text: str, k: int, n: str = "w") -> str:
     return f"[array_to_string({n}[i:i+{k - 1}], ' ') FOR i IN range(1, len({n}) - {k - 2})]"
 
 
+_SPACE = "'[\\s\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]'"
+
+
+def _units(texts: str) -> str:
+    folded = f"trim(regexp_replace(u, {_SPACE} || '+', ' ', 'g'))"
+    return f"list_filter([{folded} FOR u IN {texts}], lambda u: u <> '')"
+
+
+def _repeats(units: str) -> str:
+    return f"CASE WHEN len({units}) = 0 THEN 0.0 ELSE 1 - len(list_distinct({units}))::DOUBLE / len({units}) END"
+
+
 SQL: dict[str, str] = {
     "p1_found": f"""
 WITH t AS (SELECT section_id AS id, {_WORDS.format("coalesce(heading, '') || chr(10) || coalesce(text, '')")} AS w FROM sections),
@@ -206,4 +218,34 @@ f AS (SELECT k.host, h, count(DISTINCT doc_id) AS c FROM k GROUP BY 1, 2), b AS
 SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE b.h IS NOT NULL) AS removed, sum(CASE WHEN b.h IS NULL THEN length(line) ELSE 0 END) / sum(length(line)) AS left_share,
   sum(CASE WHEN b.h IS NULL THEN length(line) ELSE 0 END) / sum(length(line)) < 0.5 AS rejected
 FROM k LEFT JOIN b ON b.h = k.h AND b.host IS NOT DISTINCT FROM k.host GROUP BY 1""",
+    "p6_report": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format("text")} AS w FROM eval_items),
+a AS (SELECT doc_id, unnest({_grams("", 12)}) AS s, generate_subscripts({_grams("", 12)}, 1) AS p FROM d WHERE len(w) >= 12),
+b AS (SELECT item_id, unnest({_grams("", 12)}) AS s, generate_subscripts({_grams("", 12)}, 1) AS q FROM i WHERE len(w) >= 12),
+m AS (SELECT doc_id, item_id, p, p - q AS diagonal FROM a JOIN b USING (s)),
+r AS (SELECT *, p - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY p) AS island FROM m),
+l AS (SELECT doc_id, item_id, count(*) + 11 AS n FROM r GROUP BY doc_id, item_id, diagonal, island),
+g AS (SELECT item_id, count(DISTINCT doc_id) AS n_docs, max(n) AS longest FROM l GROUP BY 1)
+SELECT item_id, suite, coalesce(n_docs, 0) AS n_docs, coalesce(longest, 0) AS longest FROM eval_items LEFT JOIN g USING (item_id)""",
+    "p8_shares": f"""
+WITH t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w, lower(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS x FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN {_grams("", 5)} ELSE [] END AS g,
+  {_units("string_split(x, chr(10))")} AS a, {_units("string_split(regexp_replace(replace(x, chr(10), ' '), '([.!?。！？])' || " + _SPACE + " || '*', '\\1' || chr(1), 'g'), chr(1))")} AS b, {_units("string_split(regexp_replace(x, '\\n' || " + _SPACE + " || '*\\n', chr(1), 'g'), chr(1))")} AS c FROM t)
+SELECT doc_id, len(g) AS sequences, len(list_distinct(g)) AS distinct, {_repeats("g")} AS share, {_repeats("a")} AS line_share, {_repeats("b")} AS sentence_share, {_repeats("c")} AS paragraph_share FROM g""",
+    "p2_unassigned": """
+WITH c AS (
+  SELECT lower(regexp_replace(session_id, '^\\s+|\\s+$', '', 'g')) AS s, coalesce(agent, 'unknown') AS agent, call_id, query, outcome,
+    CASE WHEN "timestamp" < 100000000000 THEN "timestamp" * 1000 ELSE "timestamp" END AS ts
+  FROM calls WHERE coalesce(kind, 'turn') <> 'delegation'),
+k AS (SELECT s, ts, min(call_id) AS id FROM c WHERE s IS NOT NULL GROUP BY s, ts, query, outcome),
+gap AS (SELECT quantile_disc(p, 0.99) AS g FROM (SELECT ts - lag(ts) OVER (PARTITION BY s ORDER BY ts, id) AS p FROM k) x),
+r AS (
+  SELECT agent, ts, min(call_id) AS id, coalesce(regexp_matches(query, '\\S'), false) AS ask, coalesce(regexp_matches(outcome, '\\S'), false) AS reply
+  FROM c WHERE s IS NULL OR s = '' GROUP BY agent, ts, query, outcome),
+b AS (SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY agent ORDER BY ts, id) > (SELECT g FROM gap))::INT, 0) AS brk FROM r),
+p AS (SELECT *, sum(brk) OVER (PARTITION BY agent ORDER BY ts, id)::BIGINT AS part FROM b),
+m AS (SELECT agent, part, ts, id, 1 AS k, 'user' AS role FROM p WHERE ask UNION ALL SELECT agent, part, ts, id, 2, 'assistant' FROM p WHERE reply),
+o AS (SELECT *, row_number() OVER (PARTITION BY agent, part ORDER BY ts, id, k) AS msg_no, count(*) OVER (PARTITION BY agent, part) AS n FROM m),
+bad AS (SELECT agent, part FROM p WHERE NOT ask AND NOT reply UNION SELECT agent, part FROM o WHERE (msg_no % 2 = 1) <> (role = 'user') OR n % 2 = 1)
+SELECT agent, part, msg_no, role, id AS call_id FROM o WHERE (agent, part) NOT IN (SELECT (agent, part) FROM bad)""",
 }
