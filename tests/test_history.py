@@ -200,3 +200,75 @@ def test_token_counts(spark, rows):
 def test_shared_folder(spark):
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     assert shared_dir(spark) == named if named else shared_dir(spark).startswith("file:///")
+
+
+def test_repair_and_compaction(spark, rows):
+    line = lambda i, q="q": json.dumps({"query": q, "timestamp": i, "own": i})
+    path = new_path(spark, "kept")
+    data = [line(1), "{broken", line(2), "", line(1), "[1]", line(3, "x" * 300)]
+    spark.createDataFrame([(x,) for x in data], "value string").coalesce(1).write.text(path)
+    assert store.repair_history(spark, path, 10) == {"good": 4, "bad": 2}
+    assert [r.value for r in spark.read.text(path).collect()] == [line(1), line(2), line(1), line(3, "x" * 300)]
+    assert sorted(r.value for r in spark.read.text(path + ".quarantine").collect()) == ["[1]", "{broken"]
+    assert spark.read.text(path + ".bak-10").count() == 7
+    assert store.repair_history(spark, path, 11) == {"good": 4, "bad": 0}  # nothing to do: no backup
+    with pytest.raises(ValueError):
+        store.compact_history(spark, path, 12, 0, 0)
+    assert spark.read.text(path).count() == 4
+    assert store.compact_history(spark, path, 13) == {"before": 4, "after": 3}
+    assert [r.value for r in spark.read.text(path).collect()] == [line(1), line(2), line(3, "x" * 300)]
+    store.compact_history(spark, path, 14, now_ms=10**12, fold_days=1)
+    got = [json.loads(r.value) for r in spark.read.text(path).collect()]
+    assert [r["timestamp"] for r in got] == [1, 2, 3] and len(got[2]["query"]) == 120 and got[0]["own"] == 1
+    assert spark.read.text(path + ".bak-14").count() == 3
+
+
+def test_session_log_and_memory(spark, rows):
+    path = new_path(spark, "log")
+    store.session_log(spark, path, "fix it", "done", ["a.rs"], agent="codex", session_id="s1", kind="turn", now_ms=3)
+    store.session_log(spark, path, "next", now_ms=4)
+    for bad in ({"request": " "}, {"request": "x", "kind": "other"}):
+        with pytest.raises(ValueError):
+            store.session_log(spark, path, **bad)
+    good, wrong = store.read_history(spark, path)
+    assert rows(good, "query", "agent", "session_id", "kind") == [("fix it", "codex", "s1", "turn"), ("next", "unknown", None, None)] and wrong.isEmpty()
+    memory = {r.id: r for r in store.by_session(good.select("session_id", "timestamp", "query")).collect()}
+    assert memory["s1"].timestamp == 3 and [c.query for c in memory["s1"].calls] == ["fix it"]
+
+
+def test_session_recall_shows_links(spark):
+    cols = "call_id long, session_id string, timestamp long, query string, outcome string, symbols array<string>, files array<string>, tokens long, stale boolean, agent string, rules array<struct<file:string,heading:string,hash:string>>, turn_id string, parent_turn_id string, kind string, commit_sha string, test_exit int"
+    data = [
+        (1, "s", 10, "part one", "ok", [], None, 5, None, "helper", None, None, None, "delegation", None, 1),
+        (2, "s", 20, "the whole " + "y" * 80, "", ["a", "b", "c", "d", "e", "f"], ["x.rs"], 7, True, None, [("R.md", "H", "0123456789")], "t1", None, "turn", "abcdef123456", None),
+        (3, None, 30, "named", None, None, None, 0, False, "other", None, None, "t1", "delegation", "ffff", None),
+    ]
+    got = {r.call_id: r for r in history.session_recall(spark.createDataFrame(data, cols), "", 100, 20).collect()}
+    assert [got[i].rank for i in (3, 2, 1)] == [1, 2, 3]
+    assert got[1].delegated_by == got[3].delegated_by == ("the whole " + "y" * 80)[:60]
+    assert got[2].delegations == "helper (test_exit 1), other" and got[2].commit == "abcdef12" and got[2].symbols == "a, b, c, d, e, … (+1 more)" and got[2].rules == "R.md#H (01234567)"
+    assert got[2].stale and got[2].outcome is None and got[3].commit is None and got[1].symbols is None
+    assert [r.call_id for r in history.session_recall(spark.createDataFrame(data, cols), "named", 100, 20).collect()] == [3]
+    assert history.session_recall(spark.createDataFrame([], cols), "named", 100).isEmpty()
+
+
+def test_ignore_files(spark, rows):
+    rules = corpus.Ignore([(".gitignore", "*.log\n!keep.log\n/build\nsrc/**/gen/\ntmp/\n\\#odd\nq?[!a]x\n# no rule\n  \n"), ("a/.gitignore", "!*.log\nlocal\n"), ("a/.ignore", "b.log\n")], extra="*.bak\nkeep.log\n")
+    out = ["x.log", "build/y.rs", "src/gen/z.rs", "src/a/b/gen/z.rs", "tmp/keep.log", "d/tmp/e.rs", "#odd", "q1bx", "a/local", "a/d/local/f.rs", "a/b.log", "o.bak", "a/o.bak"]
+    kept = ["keep.log", "sub/build/y.rs", "gen/z.rs", "tmp", "odd", "q1ax", "a/x.log", "local", "d/local.rs", "src/gen.rs"]
+    assert [p for p in out if not rules.file(p)] == [] and [p for p in kept if rules.file(p)] == []
+    df = spark.createDataFrame([(p, 1) for p in out + kept] + [(None, 2)], "path string, n int")
+    assert rows(corpus.unignored(df, rules), "path") == sorted((p,) for p in kept)
+    listing = spark.createDataFrame([("s/.gitignore", b"*.o\n"), ("s/other", b"x"), (".ignore", b"\xff*.p\n")], "path string, content binary")
+    read = corpus.ignore_rules(listing)
+    assert read.file("s/a.o") and not read.file("a.o")
+    with pytest.raises(ValueError):
+        corpus.ignore_rules(listing, most=1)
+    now, before = (spark.createDataFrame(x, "path string, hash string") for x in ([("a", "1"), ("b", "2"), ("d", None)], [("a", "1"), ("b", "3"), ("c", "4"), ("d", None)]))
+    assert rows(corpus.scan_difference(now, before)) == [("b", "changed"), ("c", "deleted")]
+
+
+def test_instruction_files(spark, rows):
+    data = [("CLAUDE.md", b"ok"), ("AGENTS.md", b"\xff"), ("GEMINI.md", b"x" * 65537), (".cursor/rules/a.mdc", "日本".encode()), ("../CLAUDE.md", b"out"), ("README.md", b"no"), (".clinerules/../b.md", b"out"), ("CONVENTIONS.md", None)]
+    got = corpus.instruction_files(spark.createDataFrame(data, "path string, content binary"))
+    assert rows(got) == [(".cursor/rules/a.mdc", "cursor", "日本"), ("CLAUDE.md", "claude-code", "ok")]

@@ -162,3 +162,28 @@ def test_pipeline_keeps_different_texts_under_one_path(spark):
     rules = spark.createDataFrame([("docs/p3.md", 2)], "pattern string, level int")
     first = pipeline.run_pipeline(df, task, changed=changed, level_rules=rules).collect()
     assert sorted(r.file_id for r in first[:2]) == [6, 7] and {r.level for r in first[:2]} == {2} and len(first) == len(got)
+
+
+def test_answer(spark, rows):
+    text = lambda i: f"# Connection pool {i}\n\nThe connection pool leaks handles under load, case {i}.\n"
+    df = spark.createDataFrame([(i, f"docs/p{i}.md", "markdown", text(i)) for i in range(4)] + [(9, "far.rs", "rust", "fn alone() {}")], "file_id long, path string, language string, text string")
+    nodes = spark.createDataFrame([(i, i) for i in range(4)] + [(90, 9), (91, 9), (92, 10)], "id long, file_id long")
+    edges = spark.createDataFrame([(0, 90), (91, 1), (92, 90), (2, 3)], "from_id long, to_id long")
+    sections = spark.createDataFrame([(1, "CLAUDE.md", "claude-code", "Pools", "Close every connection."), (2, "AGENTS.md", "codex", "Pools", "Never close a connection."), (3, "AGENTS.md", None, None, "Colours.")], "id long, file string, owner string, heading string, text string")
+    a = pipeline.answer(df, "connection pool leaks handles under load", edges, nodes, sections, agent="codex", session_id="s", now_ms=5)
+    assert rows(a.files, "file_id") == [(0,), (1,), (2,), (3,)] and a.files.where("content LIKE '# Connection pool%'").count() == 4
+    assert rows(a.related, "file", "total") == [(9, 2)]
+    assert rows(a.rules, "id", "file", "heading") == [(1, "CLAUDE.md", "Pools")]
+    s = a.summary.first()
+    assert (s.n_files, s.level, s.adjusted, s.exceeded_by_rules, s.indexed_docs, s.file_types) == (4, 0, False, False, 4, {"md": 4})
+    assert s.sent == sum(r.tokens for r in a.files.collect()) and s.saved == max(s.workspace - s.sent, 0)
+    r = a.record.first()
+    assert (r.query, r.agent, r.session_id, r.timestamp, r.tokens) == ("connection pool leaks handles under load", "codex", "s", 5, s.sent)
+    assert r.files == [f"docs/p{i}.md" for i in range(4)] and r.symbols == [f"Connection pool {i}" for i in range(4)] and [x.file for x in r.rules] == ["CLAUDE.md"]
+    empty = pipeline.answer(df.limit(0), "pool", edges, nodes, sections, agent="codex")
+    assert empty.summary.first().sent == 0 and rows(empty.related) == [] and empty.record.first().files == []
+    over = spark.createDataFrame([("*", 0)], "pattern string, level int")
+    big = pipeline.answer(df, "connection pool leaks handles under load", max_tokens=30, level_rules=over).summary.first()
+    assert big.exceeded_by_rules == (big.sent > 30)
+    with pytest.raises(ValueError):
+        pipeline.run_pipeline(df, "pool", level=3)

@@ -52,6 +52,18 @@ def rule_level(files: DataFrame, rules: DataFrame) -> DataFrame:
     return f.select("path", F.coalesce("_p", "_f", "_g").cast("int").alias("level"))
 
 
+def compressed_files(files: DataFrame, level: int = 1) -> DataFrame:
+    """``(file_id, content, original, compressed, rate)`` of ``files(file_id, language, text)``: sizes in bytes, the saved share in percent.
+
+    Level 0 saves nothing; another level than 0, 1 and 2 counts as 0.  Null texts give nulls and ``0%``.
+    """
+    out = T.compress(F.col("text"), F.col("language"), F.lit(level))
+    sized = files.select("file_id", out.alias("content"), F.octet_length("text").alias("original")).withColumn("compressed", F.octet_length("content"))
+    share = F.bround(F.greatest((1 - F.col("compressed") / F.greatest("original", F.lit(1))) * 100, F.lit(0.0)), 0).cast("int")
+    rate = F.lit("0%") if level not in (1, 2) else F.concat(F.when(F.col("original") > 0, share).otherwise(0).cast("string"), F.lit("%"))
+    return sized.withColumn("rate", F.coalesce(rate, F.lit("0%")))
+
+
 def savings(full: Column, sent: Column) -> Column:
     """The saved share as ``%.0f%%`` of a float, halves to even; ``0%`` of nothing."""
     share = ((full - sent).cast("double") * 100 / F.when(full > 0, full)).cast("float")

@@ -68,6 +68,33 @@ def recall(calls: DataFrame, query: str, now_ms: int, limit: int | None = 20) ->
     return (out.limit(limit) if limit else out).select("call_id", "grp", "score")
 
 
+def session_recall(calls: DataFrame, query: str, now_ms: int, limit: int = 20, shown: int = 5) -> DataFrame:
+    """The recalled records in order, with what a reader needs beside them.
+
+    ``(rank, call_id, at, agent, query, outcome, tokens, stale, symbols, files, rules, commit, delegations, delegated_by)``: lists are cut
+    to ``shown`` entries (T8), rules are ``file#heading (hash)``, a turn has its commit and the agents of its delegations with
+    their test results (J13), a delegation the query of the turn that ran it (J14).  Links are worked out over all of
+    ``calls``; the joins that carry texts see the recalled rows only.
+    """
+    got = recall(calls, query, now_ms, limit)
+    order = W.orderBy("grp", F.desc(F.when(F.col("grp") == 0, F.col("timestamp"))), F.desc(F.round("score", 12)), "call_id")
+    rows = calls.join(got, "call_id").withColumn("rank", F.row_number().over(order))  # at most ``limit`` rows
+    agent = F.coalesce("agent", F.lit("unknown"))
+    known = rows.select("call_id")
+    told = F.concat(agent, F.when(F.col("test_exit").isNotNull(), F.concat(F.lit(" (test_exit "), F.col("test_exit").cast("string"), F.lit(")"))).otherwise(""))
+    ran = delegations(calls).join(known.withColumnRenamed("call_id", "turn"), "turn", "left_semi").join(calls.select(F.col("call_id").alias("delegation"), "timestamp", told.alias("told")), "delegation")
+    ran = ran.groupBy("turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("timestamp", "delegation", "told"))), lambda x: x["told"]).alias("told"))
+    by = parent_turns(calls).join(known.withColumnRenamed("call_id", "delegation"), "delegation", "left_semi").join(calls.select(F.col("call_id").alias("turn"), F.substring("query", 1, 60).alias("by")), "turn")
+    j = rows.join(ran.withColumnRenamed("turn", "call_id"), "call_id", "left").join(by.select(F.col("delegation").alias("call_id"), "by"), "call_id", "left")
+    some = lambda c: F.when(F.size(c) > 0, T.capped_list(c, shown))
+    refs = F.transform("rules", lambda r: F.concat(F.coalesce(r["file"], F.lit("")), F.lit("#"), F.coalesce(r["heading"], F.lit("")), F.lit(" ("), F.substring(F.coalesce(r["hash"], F.lit("")), 1, 8), F.lit(")")))
+    return j.select(
+        "rank", "call_id", T.epoch_minutes(F.col("timestamp")).alias("at"), agent.alias("agent"), "query", F.when(F.col("outcome") != "", F.col("outcome")).alias("outcome"), "tokens", F.coalesce("stale", F.lit(False)).alias("stale"),
+        some(F.col("symbols")).alias("symbols"), some(F.col("files")).alias("files"), some(refs).alias("rules"),
+        F.when(F.col("kind") == "turn", F.substring("commit_sha", 1, 8)).alias("commit"), F.when(F.col("kind") == "turn", some(F.col("told"))).alias("delegations"), F.when(F.col("kind") == "delegation", F.col("by")).alias("delegated_by"),
+    )
+
+
 def mark_stale(calls: DataFrame, path: str) -> DataFrame:
     """Records that mention a path become stale."""
     return calls.withColumn("stale", F.col("stale") | F.coalesce(F.array_contains("files", path), F.lit(False)))

@@ -53,6 +53,18 @@ def top_files(files: DataFrame, nodes: DataFrame, n: int = 10) -> DataFrame:
     return files.join(symbols_per_file(nodes).withColumnRenamed("file_id", "id"), "id").select("path", "symbols").orderBy(F.desc("symbols"), "path").limit(n)
 
 
+def project(files: DataFrame, nodes: DataFrame, edges: DataFrame, n: int = 10) -> dict[str, DataFrame]:
+    """The parts of an overview of ``files(id, path, language)``, ``nodes(file_id, name, kind, is_exported)`` and ``edges``.
+
+    ``stats(what, n)``, ``languages(language, n)``, ``top_files(path, symbols)``, ``files(path, language, symbols)`` with files without symbols,
+    and ``exported(path, name, kind)``.
+    """
+    per = symbols_per_file(nodes).withColumnRenamed("file_id", "id")
+    listed = files.join(per, "id", "left").select("path", "language", F.coalesce("symbols", F.lit(0)).alias("symbols"))
+    out = nodes.where("is_exported").join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select("path", "name", "kind")
+    return {"stats": stats(files, nodes, edges), "languages": languages(files), "top_files": top_files(files, nodes, n), "files": listed, "exported": out.orderBy("path", "name", "kind")}
+
+
 def diff_context(changed: DataFrame, files: DataFrame, nodes: DataFrame) -> DataFrame:
     """Changed paths with language and symbol count; unindexed ones are ``unknown`` with 0."""
     per = symbols_per_file(nodes).withColumnRenamed("file_id", "id")

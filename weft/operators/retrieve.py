@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weft.functions import text as T
@@ -51,7 +52,7 @@ def tfidf_search(symbols: DataFrame, query: str, n: int = 20) -> DataFrame:
         weight = F.when(F.col("term") == t, F.lit(c / norm)).otherwise(weight)
     sim = w.groupBy("path").agg(F.sum(weight * part).alias("dot"), F.sqrt(F.sum(part * part)).alias("len"))
     scored = sim.where("dot > 0 AND len > 0").select("path", (F.col("dot") / F.col("len")).alias("score"))
-    top = cut(scored.orderBy(F.desc("score"), "path").limit(n), "tfidf")
+    top = cut(scored.orderBy(F.desc(F.round("score", 9)), "path").limit(n), "tfidf")
     if not q or not top.isEmpty():
         return top
     low = F.lower("name")
@@ -100,7 +101,7 @@ def bm25_documents(docs: DataFrame, query: list[str], top_k: int | None = None)
     q = [t.lower() for t in query]
     out = _bm25(docs.select("path", "text").where("text IS NOT NULL"), T.document_terms(F.col("text")), q, DOC_K1, lambda n, d: log((n - d + 0.5) / (d + 0.5) + 1), 1)
     out = out.where("score > 0").select("path", "score")
-    return out.orderBy(F.desc("score"), "path").limit(top_k) if top_k else out
+    return out.orderBy(F.desc(F.round("score", 9)), "path").limit(top_k) if top_k else out
 
 
 def bm25_recall(docs: DataFrame, query: str) -> DataFrame:
@@ -128,17 +129,17 @@ def context(symbols: DataFrame, query: str, limit: int = 10, kind: str | None =
 
 
 def keyword_hits(symbols: DataFrame, task: str) -> DataFrame:
-    """``(seq, keyword, hits, id, path, name, ...)``: up to 50 symbols per keyword, in order of keyword and id.
+    """``symbols`` with ``(ord, keyword)``: up to 50 per keyword, the first by id.  A task without keywords is one keyword (10 rows).
 
-    Each keyword is its own top-k; at most 50 rows per keyword go on.  A task without keywords is one keyword (10 rows).
+    One scan finds the hits of all keywords, and each task keeps its own first rows before the shuffle, so a keyword that every
+    symbol holds moves no more than the others.
     """
     kws = keywords(task)
     plan = [(k, LIKE_CAP) for k in kws] if kws else [(task, LIKE_CAP_WHOLE)]
-    out = None
-    for i, (k, cap) in enumerate(plan):
-        one = like_hits(symbols, k, cap).withColumns({"ord": F.lit(i), "keyword": F.lit(k.lower())})
-        out = one if out is None else out.unionByName(one)
-    return out
+    found = F.array_compact(F.array(*[F.when(T.like_anywhere(F.col("name"), k), F.struct(F.lit(i).alias("ord"), F.lit(k.lower()).alias("keyword"))) for i, (k, _) in enumerate(plan)]))
+    each = symbols.select("*", F.inline(found))
+    first = F.row_number().over(W.partitionBy("ord").orderBy("id"))
+    return each.withColumn("_k", first).where(F.col("_k") <= plan[0][1]).drop("_k")
 
 
 def like_scores(hits: DataFrame, sizes: DataFrame, n_keywords: int) -> DataFrame:

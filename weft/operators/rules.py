@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,18 +48,19 @@ def relevant(sections: DataFrame, task_terms: list[str], agent: str) -> DataFram
     return first.where((F.col("score") > 0) & ~F.coalesce(F.col("owner") == agent, F.lit(False))).select("id", "score")
 
 
-def within_budget(ranked: DataFrame, budget: int) -> DataFrame:
-    """Greedy packing of ``ranked(id, score, tokens)`` by score, then id: what is too large is skipped, smaller ones may still fit.
+def within_budget(ranked: DataFrame, budget: int, order: list[Column] | None = None) -> DataFrame:
+    """Greedy packing of ``ranked(id, score, tokens)`` by score, then id (or by ``order``, ascending): what is too large is skipped, smaller ones may still fit.
 
     Of items of one size only the best budget // size can ever be taken, so no more are kept per size (first within
     salted parts of a size, so a common size is no hot group): an exact bound of budget · (1 + ln budget) rows, which
     are then folded as one array.  Items of 0 tokens or fewer are free.
     """
-    few = ranked.where(f"tokens > 0 AND tokens <= {int(budget)}").withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64)))
+    order = order or [(-F.col("score")).alias("s"), F.col("id")]
+    few = ranked.where(f"tokens > 0 AND tokens <= {int(budget)}").withColumns({"_part": F.pmod(F.xxhash64("id"), F.lit(64)), "_at": F.struct(*order)})
     for by in (["tokens", "_part"], ["tokens"]):
-        k = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), "id"))
+        k = F.row_number().over(W.partitionBy(*by).orderBy("_at"))
         few = few.withColumn("_k", k).where(F.col("_k") * F.col("tokens") <= budget).drop("_k")
-    items = few.agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id").alias("id"), F.col("tokens").alias("tokens")))).alias("a"))
+    items = few.agg(F.array_sort(F.collect_list(F.struct("_at", F.col("id").alias("id"), F.col("tokens").alias("tokens")))).alias("a"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
     fits = lambda acc, x: acc["used"] + x["tokens"] <= budget
     step = lambda acc, x: F.struct(F.when(fits(acc, x), acc["used"] + x["tokens"]).otherwise(acc["used"]).alias("used"), F.when(fits(acc, x), F.concat(acc["ids"], F.array(x["id"].cast("long")))).otherwise(acc["ids"]).alias("ids"))

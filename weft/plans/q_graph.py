@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -258,6 +260,23 @@ def a15_top_directories(spark: SparkSession, d: str) -> DataFrame:
     return overview.top_directories(files(spark, d))
 
 
+@query(GRAPH + """, f AS (SELECT DISTINCT file_id AS path, 'parts' AS language FROM nodes UNION ALL SELECT 'empty', 'none'), c AS (SELECT file_id AS path, count(*) AS n FROM nodes GROUP BY 1)
+SELECT 'stats' AS part, 'files' AS a, '' AS b, (SELECT count(*) FROM f) AS n UNION ALL SELECT 'stats', 'nodes', '', (SELECT count(*) FROM nodes) UNION ALL SELECT 'stats', 'edges', '', (SELECT count(*) FROM edges)
+UNION ALL SELECT 'languages', language, '', count(*) FROM f GROUP BY language UNION ALL (SELECT 'top_files', path, '', n FROM c ORDER BY n DESC, path LIMIT 10)
+UNION ALL SELECT 'files', path, language, coalesce(n, 0) FROM f LEFT JOIN c USING (path) UNION ALL SELECT 'exported', file_id, name || ' ' || kind, count(*) FROM nodes WHERE is_exported GROUP BY 2, 3""")
+def e17_overview(spark: SparkSession, d: str) -> DataFrame:
+    """All parts of the overview in one table."""
+    n = nodes(spark, d)
+    f = n.select(F.col("file_id").alias("id"), F.col("file_id").alias("path"), F.lit("parts").alias("language")).distinct().unionByName(spark.createDataFrame([("empty", "empty", "none")], "id string, path string, language string"))
+    parts = overview.project(f, n, edges(spark, d))
+    none = F.lit("")
+    rows = [
+        parts["stats"].select(F.lit("stats").alias("part"), F.col("what").alias("a"), none.alias("b"), "n"), parts["languages"].select(F.lit("languages"), "language", none, "n"), parts["top_files"].select(F.lit("top_files"), "path", none, "symbols"),
+        parts["files"].select(F.lit("files"), "path", "language", "symbols"), parts["exported"].groupBy("path", F.concat_ws(" ", "name", "kind").alias("b")).agg(F.count("*").alias("n")).select(F.lit("exported"), "path", "b", "n"),
+    ]
+    return reduce(DataFrame.union, rows)
+
+
 @query(GRAPH + "SELECT file_id AS path, count(*) AS symbols FROM nodes GROUP BY 1 ORDER BY symbols DESC, path LIMIT 10")
 def t04_e17_top_files(spark: SparkSession, d: str) -> DataFrame:
     n = nodes(spark, d)

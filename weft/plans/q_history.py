@@ -54,6 +54,23 @@ def t06_recall_newest(spark: SparkSession, d: str) -> DataFrame:
     return history.recall(calls(spark, d), " ", _NOW)
 
 
+_LISTED = "CASE WHEN len({0}) > 5 THEN array_to_string({0}[1:5], ', ') || ', … (+' || (len({0}) - 5) || ' more)' WHEN len({0}) > 0 THEN array_to_string({0}, ', ') END"
+
+
+@query(_C + f""", explicit AS (SELECT t.call_id AS turn, d.call_id AS del FROM d JOIN t ON t.turn_id = d.parent_turn_id),
+open AS (SELECT t.call_id AS turn, x.call_id AS del FROM (SELECT d.call_id, d.session_id, min(t."timestamp") AS due FROM d JOIN t ON t.session_id = d.session_id AND t."timestamp" >= d."timestamp" WHERE d.parent_turn_id IS NULL GROUP BY 1, 2) x JOIN t ON t.session_id = x.session_id AND t."timestamp" = x.due),
+ran AS (SELECT turn AS call_id, list(coalesce(agent, 'unknown') || CASE WHEN test_exit IS NOT NULL THEN ' (test_exit ' || test_exit || ')' ELSE '' END ORDER BY "timestamp", call_id) AS told FROM (SELECT * FROM explicit UNION ALL SELECT * FROM open) u JOIN calls1 c ON c.call_id = u.del GROUP BY 1),
+by1 AS (SELECT del AS call_id, min(turn) AS turn FROM (SELECT * FROM explicit UNION ALL SELECT * FROM open) u GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY "timestamp" DESC, call_id) AS rank FROM calls1)
+SELECT rank::INT AS rank, r.call_id, strftime(epoch_ms(r."timestamp"), '%Y-%m-%d %H:%M') AS "at", coalesce(agent, 'unknown') AS agent, query, nullif(outcome, '') AS outcome, tokens, coalesce(stale, false) AS stale, {_LISTED.format("symbols")} AS symbols, {_LISTED.format("files")} AS files,
+  {_LISTED.format("[coalesce(x.file, '') || '#' || coalesce(x.heading, '') || ' (' || coalesce(x.hash, '')[1:8] || ')' FOR x IN rules]")} AS rules,
+  CASE WHEN kind = 'turn' THEN commit_sha[1:8] END AS commit, CASE WHEN kind = 'turn' THEN {_LISTED.format("told")} END AS delegations, CASE WHEN kind = 'delegation' THEN (SELECT query[1:60] FROM calls1 p WHERE p.call_id = by1.turn) END AS delegated_by
+FROM r LEFT JOIN ran ON ran.call_id = r.call_id LEFT JOIN by1 ON by1.call_id = r.call_id WHERE rank <= 300""")
+def r08_session_recall(spark: SparkSession, d: str) -> DataFrame:
+    """The newest 300 records as a reader sees them."""
+    return history.session_recall(calls(spark, d), "", _NOW, 300)
+
+
 @query(f"WITH {CALLS_SQL} SELECT call_id, stale OR coalesce(list_contains(files, (SELECT min(files[1]) FROM calls)), false) AS stale FROM calls1")
 def e12_mark_stale(spark: SparkSession, d: str) -> DataFrame:
     c = calls(spark, d)
@@ -241,3 +258,34 @@ def a17_k12_doctor(spark: SparkSession, d: str) -> DataFrame:
     path = new_path(spark, "history")
     t.select(F.when(F.col("call_id") % 10 == 0, F.substring(line, 1, 9)).otherwise(line).alias("value")).write.text(path)
     return doctor(spark, path)
+
+
+def _history_text(spark: SparkSession, d: str, label: str) -> str:
+    """The calls as lines of JSON, every row of the table, with each tenth one cut short; returns the folder."""
+    t = read_table(spark, d, "calls").withColumnRenamed("commit_sha", "commit").drop("recorded_at")
+    line = F.to_json(F.struct(*[c for c in t.columns if c != "call_id"]))
+    path = new_path(spark, label)
+    t.select(F.when(F.col("call_id") % 10 == 0, F.concat(F.substring(line, 1, 9), F.col("call_id").cast("string"))).otherwise(line).alias("value")).write.text(path)
+    return path
+
+
+@query("SELECT count(*) FILTER (WHERE call_id % 10 <> 0) AS good, count(*) FILTER (WHERE call_id % 10 = 0) AS bad, count(*) FILTER (WHERE call_id % 10 <> 0) AS good_after, 0::BIGINT AS bad_after, count(*) FILTER (WHERE call_id % 10 = 0) AS quarantined FROM calls")
+def k12_repair(spark: SparkSession, d: str) -> DataFrame:
+    """Bad lines go to quarantine and the rest stays; a second run finds nothing to do."""
+    from weft.sources import store
+
+    path = _history_text(spark, d, "repair")
+    first, second = store.repair_history(spark, path, 1), store.repair_history(spark, path, 2)
+    aside = spark.read.text(path + ".quarantine").count()
+    return spark.createDataFrame([(first["good"], first["bad"], second["good"], second["bad"], aside)], "good long, bad long, good_after long, bad_after long, quarantined long")
+
+
+@query(f"""WITH u AS (SELECT DISTINCT c.* EXCLUDE (call_id, recorded_at) FROM calls c WHERE call_id % 10 <> 0)
+SELECT u."timestamp" AS ts, CASE WHEN u."timestamp" < {_NOW} - 7776000000 AND length(query) > 120 THEN query[1:119] || '…' ELSE query END AS query, CASE WHEN u."timestamp" < {_NOW} - 7776000000 AND length(outcome) > 120 THEN outcome[1:119] || '…' ELSE outcome END AS outcome FROM u""")
+def k15_compacted_file(spark: SparkSession, d: str) -> DataFrame:
+    """A history file with each line once and old texts folded, read back."""
+    from weft.sources import store
+
+    path = _history_text(spark, d, "compact")
+    store.compact_history(spark, path, 1, _NOW, 90)
+    return store.read_history(spark, path)[0].select(F.col("timestamp").alias("ts"), "query", "outcome")

@@ -153,12 +153,13 @@ q AS (SELECT file_id, unnest(l) AS x, generate_subscripts(l, 1) AS no, code FROM
 k AS (SELECT file_id, {_COLLAPSED.format(_KEPT_LINES)} AS t FROM f GROUP BY 1),
 b AS (SELECT t.file_id, strlen(text) AS bytes_0, CASE WHEN NOT code THEN strlen({_COLLAPSED.format("replace(text, chr(13) || chr(10), chr(10))")}) ELSE strlen({_COLLAPSED.format(_NO_COMMENTS)}) END AS bytes_1,
   CASE WHEN NOT code THEN strlen(k.t) ELSE strlen(array_to_string([regexp_replace(x, '\s*[{{:]?\s*$', '') || ' {{ ... }}' FOR x IN l IF regexp_matches(x, '{_DECL}')], chr(10))) END AS bytes_2 FROM t LEFT JOIN k ON k.file_id = t.file_id)
-SELECT *, round_even(greatest((1 - bytes_2 / greatest(bytes_0, 1)) * 100, 0.0), 0)::INT || '%' AS rate FROM b""")
+SELECT *, CASE WHEN bytes_0 > 0 THEN round_even(greatest((1 - bytes_2 / bytes_0) * 100, 0.0), 0)::INT ELSE 0 END || '%' AS rate FROM b""")
 def x15_compress(spark: SparkSession, d: str) -> DataFrame:
     """Bytes of every document at the three levels, and the rate of level 2."""
     t = docs(spark, d).where("text IS NOT NULL")
-    n = {lv: F.octet_length(T.compress(F.col("text"), F.col("language"), F.lit(lv))) for lv in (0, 1, 2)}
-    return t.select("file_id", *[c.alias(f"bytes_{lv}") for lv, c in n.items()]).withColumn("rate", F.concat(F.bround(F.greatest((1 - F.col("bytes_2") / F.greatest("bytes_0", F.lit(1))) * 100, F.lit(0.0)), 0).cast("int").cast("string"), F.lit("%")))
+    one = budget.compressed_files(t, 1).select("file_id", F.col("original").alias("bytes_0"), F.col("compressed").alias("bytes_1"))
+    two = budget.compressed_files(t, 2).select("file_id", F.col("compressed").alias("bytes_2"), "rate")
+    return one.join(two, "file_id")
 
 
 @query("SELECT id, path, b AS base, floor(b * 0.70::DOUBLE)::BIGINT AS level_1, floor(b * 0.25::DOUBLE)::BIGINT AS level_2 FROM (SELECT id, path, CASE WHEN coalesce(char_count, 0) // 4 > 0 THEN char_count // 4 ELSE 150 END AS b FROM files) x")
@@ -395,3 +396,36 @@ def x26_python(spark: SparkSession, d: str) -> DataFrame:
 def x27_go(spark: SparkSession, d: str) -> DataFrame:
     """Every document read as Go, with a snippet at its end."""
     return _in_language(spark, d, "go")
+
+
+#: An ignore file at the root, one further down, and a supplementary one.
+_IGNORED = [(".gitignore", "# comment\n*.json\nnotes/\n!keep.json\n/core/**/[ab]*.go\n"), ("core/.gitignore", "!*.json\ntools\n")]
+_EXTRA = "*.txt\nbench/*.md\n"
+
+
+@query(r"""WITH p AS (SELECT DISTINCT regexp_replace(replace(path, chr(92), '/'), '^\./', '') AS path FROM files WHERE path IS NOT NULL)
+SELECT path FROM p WHERE NOT regexp_matches(path, '(?:^|/)notes/') AND NOT regexp_matches(path, '^core/(?:[^/]+/)*[ab][^/]*\.go$') AND NOT regexp_matches(path, '^core/(?:.*/)?tools(?:/|$)') AND NOT regexp_matches(path, '^bench/[^/]*\.md$')
+  AND NOT ends_with(path, '.txt') AND (NOT ends_with(path, '.json') OR starts_with(path, 'core/') OR regexp_matches(path, '(?:^|/)keep\.json$'))""")
+def s01_unignored(spark: SparkSession, d: str) -> DataFrame:
+    """The paths of all files that nested ignore files leave."""
+    from weft.operators.capture import norm_path
+    from weft.sources import corpus
+
+    t = read_table(spark, d, "files").select(norm_path(F.col("path")).alias("path")).distinct()
+    return corpus.unignored(t, corpus.Ignore(_IGNORED, _EXTRA))
+
+
+@query("""WITH t AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'CLAUDE.md' WHEN 1 THEN 'AGENTS.md' WHEN 2 THEN '.cursor/rules/' || doc_id || '.mdc' WHEN 3 THEN 'docs/' || doc_id || '.md' WHEN 4 THEN '.clinerules/../' || doc_id || '.md' ELSE '.clinerules/' || doc_id || '.md' END AS path, repeat(text, CASE WHEN doc_id % 7 = 0 THEN 200 ELSE 1 END) AS text FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'claude-code' WHEN 1 THEN 'codex' WHEN 2 THEN 'cursor' ELSE 'cline' END AS owner, strlen(text) AS bytes FROM t WHERE doc_id % 6 NOT IN (3, 4) AND strlen(text) <= 65536 AND doc_id % 11 <> 0""")
+def s24_instruction_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as tracked files, some elsewhere, some outside, some too large, some not UTF-8."""
+    from weft.sources import corpus
+
+    t = read_table(spark, d, "documents").where("text IS NOT NULL")
+    i = F.col("doc_id")
+    path = F.when(i % 6 == 0, "CLAUDE.md").when(i % 6 == 1, "AGENTS.md").when(i % 6 == 2, F.concat(F.lit(".cursor/rules/"), i.cast("string"), F.lit(".mdc"))).when(i % 6 == 3, F.concat(F.lit("docs/"), i.cast("string"), F.lit(".md")))
+    path = path.when(i % 6 == 4, F.concat(F.lit(".clinerules/../"), i.cast("string"), F.lit(".md"))).otherwise(F.concat(F.lit(".clinerules/"), i.cast("string"), F.lit(".md")))
+    body = F.expr("repeat(text, CASE WHEN doc_id % 7 = 0 THEN 200 ELSE 1 END)")
+    broken = F.when(i % 11 == 0, F.lit(bytearray(b"\xff\xfe"))).otherwise(F.lit(bytearray()))
+    files_ = t.select("doc_id", path.alias("at"), F.concat(F.encode(body, "UTF-8"), broken).alias("content"))
+    return corpus.instruction_files(files_.withColumnRenamed("at", "path"), ["doc_id"]).select("doc_id", "owner", F.octet_length("text").alias("bytes"))
