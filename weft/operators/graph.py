@@ -80,7 +80,7 @@ def impact(edges: DataFrame, start: DataFrame, max_depth: int = 0) -> DataFrame:
     is unlimited.  Breadth-first by frontiers: every round joins the frontier with the reversed edges,
     drops what was seen, and is written to the shared folder, so a lost executor costs one round.
     """
-    reverse = edges.select(F.col("to_id").alias("id"), F.col("from_id").alias("next")).distinct()
+    reverse = cut(edges.select(F.col("to_id").alias("id"), F.col("from_id").alias("next")).distinct(), "reverse")
     frontier = start.select("id").distinct()
     seen = frontier.withColumn("depth", F.lit(0))
     depth = 0

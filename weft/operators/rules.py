@@ -13,6 +13,10 @@ from weft.runtime import cut
 MIN_CHARS, MIN_SIMILARITY, MIN_SHARED, SAME = 40, 0.3, 2, 0.999
 
 
+#: Sections of a term that one task joins with all of its sections.
+BLOCK = 2048
+
+
 def with_hash(sections: DataFrame) -> DataFrame:
     """Adds ``hash``: SHA-256 of heading, line end, text (nulls count as empty)."""
     e = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -75,13 +79,14 @@ def _pairs_above(v: DataFrame, meta: DataFrame, t: float) -> DataFrame:
     than t², a pair sharing none of the terms before can't reach t.  So only these rare terms are joined.
     """
     rest = F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(W.unboundedPreceding, 0))
-    prefix = v.withColumn("rest", rest).where(F.col("rest") >= t * t - 1e-12).select("id", "term")
+    prefix = v.withColumn("rest", rest).where(F.col("rest") >= t * t - 1e-12).select("id", "term", "rest", F.ceil(F.col("df") / BLOCK).cast("int").alias("blocks"))
     m = meta.select("id", "owner", "hash", "file", "heading")
     p = prefix.join(m, "id")
-    a = p.select("term", *[F.col(c).alias(f"{c}_a") for c in m.columns])
-    b = p.select("term", *[F.col(c).alias(f"{c}_b") for c in m.columns])
+    sides = {x: [F.col(c).alias(f"{c}_{x}") for c in (*m.columns, "rest")] for x in "ab"}
+    a = p.select("term", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("part"), *sides["a"])
+    b = p.select("term", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), *sides["b"])
     ahead = (F.col("file_a") < F.col("file_b")) | ((F.col("file_a") == F.col("file_b")) & (F.col("heading_a") < F.col("heading_b")))
-    pairs = a.join(b, "term").where(ahead & (F.col("hash_a") != F.col("hash_b")) & ~F.col("owner_a").eqNullSafe(F.col("owner_b"))).select("id_a", "id_b").distinct()
+    pairs = a.join(b, ["term", "part"]).where((F.col("rest_a") * F.col("rest_b") >= t * t - 1e-12) & ahead & (F.col("hash_a") != F.col("hash_b")) & ~F.col("owner_a").eqNullSafe(F.col("owner_b"))).select("id_a", "id_b").distinct()
     x = v.select(F.col("id").alias("id_a"), "term", F.col("w").alias("wa"))
     y = v.select(F.col("id").alias("id_b"), "term", F.col("w").alias("wb"))
     dots = pairs.join(x, "id_a").join(y, ["id_b", "term"]).groupBy("id_a", "id_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity"), F.count("*").alias("shared"))

@@ -103,22 +103,22 @@ def k09_merge_spill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _messages(spark, d):
-    c = calls(spark, d).where("session_id IS NOT NULL")
+    c = calls(spark, d)
     said = F.inline(F.array(F.struct(F.lit("user").alias("role"), F.col("query").alias("text"), (F.col("call_id") * 2).alias("pos")), F.struct(F.lit("assistant").alias("role"), F.col("outcome").alias("text"), (F.col("call_id") * 2 + 1).alias("pos"))))
     return c.select(F.col("session_id").alias("conv"), said)
 
 
-@query(f"""WITH {CALLS_SQL}, m AS (SELECT session_id AS conv, 'user' AS role, query AS text, call_id AS pos FROM calls1 WHERE session_id IS NOT NULL UNION ALL SELECT session_id, 'assistant', outcome, call_id FROM calls1 WHERE session_id IS NOT NULL), s AS (SELECT * FROM m WHERE regexp_matches(text, '\\S')),
+@query(f"""WITH {CALLS_SQL}, m AS (SELECT session_id AS conv, 'user' AS role, query AS text, call_id AS pos FROM calls1 UNION ALL SELECT session_id, 'assistant', outcome, call_id FROM calls1), s AS (SELECT * FROM m WHERE regexp_matches(text, '\\S')),
 g AS (SELECT conv, max_by(trim(text, E' \\n\\r\\t'), pos) FILTER (WHERE role = 'user') AS request, max_by(trim(text, E' \\n\\r\\t'), pos) FILTER (WHERE role = 'assistant') AS outcome FROM s GROUP BY 1) SELECT conv, request[1:600] AS request, outcome[1:400] AS outcome FROM g WHERE request IS NOT NULL""")
 def w09_x28_last_turn(spark: SparkSession, d: str) -> DataFrame:
     """Per session the last request and outcome."""
     return history.last_turn(_messages(spark, d))
 
 
-@query(f"""WITH {CALLS_SQL}, l AS (SELECT session_id AS conv, max(call_id) AS last FROM calls1 WHERE session_id IS NOT NULL AND regexp_matches(query, '\\S') GROUP BY 1), e AS (SELECT session_id AS conv, call_id, unnest(files) AS file FROM calls1 WHERE session_id IS NOT NULL)
+@query(f"""WITH {CALLS_SQL}, l AS (SELECT session_id AS conv, max(call_id) AS last FROM calls1 WHERE regexp_matches(query, '\\S') GROUP BY 1), e AS (SELECT session_id AS conv, call_id, unnest(files) AS file FROM calls1)
 SELECT DISTINCT e.conv, file FROM e LEFT JOIN l USING (conv) WHERE last IS NULL OR call_id >= last""")
 def w10_files_after_request(spark: SparkSession, d: str) -> DataFrame:
-    c = calls(spark, d).where("session_id IS NOT NULL")
+    c = calls(spark, d)
     asked = c.where(F.col("query").rlike(r"\S")).select(F.col("session_id").alias("conv"), (F.col("call_id") * 2).alias("pos"), F.lit("user").alias("role"), F.lit(None).cast("string").alias("file"))
     touched = c.select(F.col("session_id").alias("conv"), (F.col("call_id") * 2 + 1).alias("pos"), F.lit("tool").alias("role"), F.explode("files").alias("file"))
     return history.files_after_request(asked.unionByName(touched))
@@ -245,7 +245,7 @@ def k10_new_snapshots(spark: SparkSession, d: str) -> DataFrame:
     from weft.sources.store import new_snapshots
 
     refs = read_table(spark, d, "calls").select(F.inline("rules"))
-    return new_snapshots(refs, read_table(spark, d, "sections").where("hash IS NOT NULL")).select("hash", F.lit(True).alias("fresh"))
+    return new_snapshots(refs, read_table(spark, d, "sections")).select("hash", F.lit(True).alias("fresh"))
 
 
 @query("SELECT count(*) FILTER (WHERE call_id % 10 <> 0) AS good, count(*) FILTER (WHERE call_id % 10 = 0) AS bad FROM calls")

@@ -79,10 +79,10 @@ def a13_r03_like_scores(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.like_scores(hits, sizes, len(retrieve.keywords(task))).withColumn("like", F.round("like", 6))
 
 
-@query("SELECT event_id, round(CASE WHEN event_type IN ('click', 'view') THEN 0.4 * (value / 100) + 0.3 * (value / 200) + 0.3 * (value / (value + 2)) ELSE (0.4 * (value / 100) + 0.3 * (value / 200)) / 0.7 END, 9) AS score FROM events WHERE value >= 0")
+@query("SELECT event_id, round(CASE WHEN event_type IN ('click', 'view') THEN 0.4 * (value / 100) + 0.3 * (value / 200) + 0.3 * (value / (value + 2)) ELSE (0.4 * (value / 100) + 0.3 * (value / 200)) / 0.7 END, 9) AS score FROM events")
 def r04_blended(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("value")
-    t = read_table(spark, d, "events").where("value >= 0")
+    t = read_table(spark, d, "events")
     return t.select("event_id", F.round(retrieve.blended(v / 100, v / 200, v, F.col("event_type").isin("click", "view")), 9).alias("score"))
 
 

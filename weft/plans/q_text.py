@@ -191,10 +191,10 @@ def x29_relativize(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "files").select("id", T.relativize(F.col("path"), "core").alias("path"))
 
 
-@query("SELECT event_id, round(pow(0.5, greatest(epoch(TIMESTAMP '2024-06-01' - ts) / 86400.0, 0.0) / 90.0), 9) AS decay, round(value / (value + 2), 9) AS saturated FROM events WHERE value >= 0")
+@query("SELECT event_id, round(pow(0.5, greatest(epoch(TIMESTAMP '2024-06-01' - ts) / 86400.0, 0.0) / 90.0), 9) AS decay, round(value / (value + 2), 9) AS saturated FROM events")
 def x30_x31_decay(spark: SparkSession, d: str) -> DataFrame:
     age = (F.lit(1717200000.0) - F.unix_micros(F.col("ts").cast("timestamp")) / 1e6) / 86400.0
-    return read_table(spark, d, "events").where("value >= 0").select("event_id", F.round(T.recency(age), 9).alias("decay"), F.round(T.saturated(F.col("value")), 9).alias("saturated"))
+    return read_table(spark, d, "events").select("event_id", F.round(T.recency(age), 9).alias("decay"), F.round(T.saturated(F.col("value")), 9).alias("saturated"))
 
 
 # ---------------------------------------------------------------- paths
