@@ -82,3 +82,18 @@ def test_awkward_rows(spark, rows):
     assert rows(C.session_conversations(df, ids)) == [("b", 1, "user", 4), ("b", 2, "assistant", 5)]
     assert rows(C.session_conversations(df.limit(0), ids)) == []
     assert rows(C.session_conversations(df, ids.limit(0))) == []
+
+
+def test_long_pauses_inside_a_session(spark, rows):
+    """A pause between exchanges splits and comes together again; one between a question and its reply is found by the second look."""
+    t0, day = 1_700_000_000_000, 86_400_000
+    calls = [(i, "usual", t0 + i * 1000, "ask", "answer", None, None, None, None, None) for i in range(300)]
+    calls += [(1000, "between", t0, "ask", "answer", None, None, None, None, None), (1001, "between", t0 + day, "more", "yes", None, None, None, None, None)]
+    calls += [(2000, "within", t0, "ask", None, None, None, None, None, None), (2001, "within", t0 + day, None, "answer", None, None, None, None, None)]
+    calls += [(3000, "broken", t0, "ask", "answer", None, None, None, None, None), (3001, "broken", t0 + day, "ask", None, None, None, None, None, None)]
+    df, ids = spark.createDataFrame(calls, SCHEMA), [("usual",), ("between",), ("within",), ("broken",)]
+    rec = C.chunked(C.records(df, C.channel_of(F.col("session_id"))), ["channel"], ["ts", "id"], "known")
+    assert C.calibrated_gap(rec) < day
+    got = rows(C.session_conversations(df, spark.createDataFrame(ids, "id string")))
+    assert got == plain(calls, [i for i, in ids])
+    assert [r[:2] for r in got if r[0] != "usual"] == [("between", 1), ("between", 2), ("between", 3), ("between", 4), ("within", 1), ("within", 2)]

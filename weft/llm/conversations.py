@@ -2,8 +2,8 @@
 
 Rows are sorted by time within their channel (a session id, or the participant where there is
 none), split at inactivity gaps longer than a calibrated limit, given roles, and kept only if
-every question is answered.  Where a channel *is* a recorded session, the session is one
-conversation and is not split.
+every question is answered.  Where a channel *is* a recorded session, the session is one conversation:
+it is intact if all of its parts are, and otherwise looked at once more as a whole.
 
 A channel may hold a third of all rows, so no step puts a channel into one task: rows are
 range-sorted by (channel, time, id) into chunks, and positions are running totals over chunks.
@@ -69,11 +69,12 @@ def calibrated_gap(recorded: DataFrame, share: float = 0.99) -> int:
     return int(got.g) if got.g is not None else 30 * 60 * 1000
 
 
-def conversations(rec: DataFrame, gap_ms: int | None = None, channels: DataFrame | None = None) -> DataFrame:
+def conversations(rec: DataFrame, gap_ms: int | None = None, channels: DataFrame | None = None, by_channel: bool = False) -> DataFrame:
     """``(channel, part, msg_no, role, id)`` of the intact conversations of ``records``.
 
     ``part`` counts a channel's conversations from 0; without ``gap_ms`` a channel is one conversation.
-    With ``channels`` (a distinct column ``channel``) only those come out.
+    With ``channels`` (a distinct column ``channel``) only those come out.  ``msg_no`` counts from 1 in the
+    conversation, or ``by_channel`` over all messages of the channel (and the chunk comes out too).
     ``rec`` may be a table of :func:`chunked` already.  Ties in time are ordered by id.
     """
     table = rec if CHUNK in rec.columns else chunked(rec, ["channel"], ["ts", "id"], "records")
@@ -84,6 +85,7 @@ def conversations(rec: DataFrame, gap_ms: int | None = None, channels: DataFrame
         table = cut(running_total(broken, ["channel"], ["ts", "id"], F.col("brk"), "_part").withColumn("part", F.col("_part") + F.col("brk")).drop("_part", "brk"), "parts")
     n = F.col("ask").cast("long") + F.col("reply").cast("long")
     placed = running_total(table, ["channel", "part"], ["ts", "id"], n, "before")
+    placed = running_total(placed, ["channel"], ["ts", "id"], n, "ahead") if by_channel else placed.withColumn("ahead", F.col("before"))
     placed = cut(placed, "placed")
     in_place = (n > 0) & (F.col("ask") == (F.col("before") % 2 == 0))
     by_chunk = placed.groupBy("channel", "part", CHUNK).agg(F.min(in_place).alias("ok"), F.sum(n).alias("n"))
@@ -93,17 +95,27 @@ def conversations(rec: DataFrame, gap_ms: int | None = None, channels: DataFrame
     # the list of intact conversations goes back by (channel, part, chunk): a hot channel is spread over its chunks
     keep = by_chunk.select("channel", "part", CHUNK).join(whole.select("channel", "part"), ["channel", "part"], "left_semi")
     kept = placed.join(keep, ["channel", "part", CHUNK], "left_semi")
-    user = F.when(F.col("ask"), F.struct(F.lit("user").alias("role"), (F.col("before") + 1).alias("msg_no")))
-    answer = F.when(F.col("reply"), F.struct(F.lit("assistant").alias("role"), (F.col("before") + 1 + F.col("ask").cast("long")).alias("msg_no")))
-    return kept.select("channel", "part", "id", F.inline(F.array_compact(F.array(user, answer)))).select("channel", "part", "msg_no", "role", "id")
+    user = F.when(F.col("ask"), F.struct(F.lit("user").alias("role"), (F.col("ahead") + 1).alias("msg_no")))
+    answer = F.when(F.col("reply"), F.struct(F.lit("assistant").alias("role"), (F.col("ahead") + 1 + F.col("ask").cast("long")).alias("msg_no")))
+    return kept.select("channel", "part", CHUNK, "id", F.inline(F.array_compact(F.array(user, answer)))).select("channel", "part", "msg_no", "role", "id", *([CHUNK] if by_channel else []))
 
 
 def session_conversations(calls: DataFrame, sessions: DataFrame) -> DataFrame:
     """The intact conversations of recorded sessions: ``(session_id, msg_no, role, call_id)``.
 
-    A session without rows, with an empty record, with roles out of turn or without a last reply
-    does not come out.  Empty tables give no rows.
+    Sessions are split at the pauses that are unusual inside sessions; one whose parts are all intact is intact as a whole.  A
+    recorded session is one conversation however long its pauses are, so a session with a part that is not intact is
+    looked at once more as a whole: a pause may lie between a question and its reply.  A session without rows, with
+    an empty record, with roles out of turn or without a last reply does not come out.  Empty tables give no rows.
     """
     ids = sessions.where("id IS NOT NULL").select(F.col("id").alias("channel")).distinct()
-    found = conversations(records(calls, channel_of(F.col("session_id"))), channels=ids)
+    rec = chunked(records(calls, channel_of(F.col("session_id"))), ["channel"], ["ts", "id"], "records")
+    parts = cut(conversations(rec, calibrated_gap(rec), ids, by_channel=True), "intact")
+    # records without a message aside, a session is covered by its intact parts if these hold all of its messages
+    n = F.col("ask").cast("long") + F.col("reply").cast("long")
+    every = rec.groupBy("channel").agg(F.sum(n).alias("n"), F.min(n).alias("least")).where("least > 0")
+    whole = cut(parts.groupBy("channel").agg(F.count("*").alias("n")).join(every, ["channel", "n"]).select("channel"), "whole")
+    # lists of sessions go to the rows by (session, chunk): a hot session is spread over its chunks
+    held = parts.select("channel", CHUNK).distinct().join(whole, "channel", "left_semi")
+    found = parts.join(held, ["channel", CHUNK], "left_semi").drop(CHUNK).unionByName(conversations(rec, None, ids.join(whole, "channel", "left_anti")))
     return found.select(F.col("channel").alias("session_id"), F.col("msg_no").cast("long").alias("msg_no"), "role", F.col("id").alias("call_id"))
