@@ -343,8 +343,8 @@ def reliabilities(votes: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.n
 
 
 def word_counts(texts: list[str]) -> Counter[str]:
-    """In how many of ``texts`` each word occurs."""
-    return Counter(w for t in texts for w in set(_LETTERED.findall(t.lower())))
+    """In how many of ``texts`` each word occurs in lower case, as names hardly do."""
+    return Counter(w for t in texts for w in set(_LETTERED.findall(t)) if w.islower())
 
 
 def common_words(counts: dict[str, int], n: int) -> set[str]:
