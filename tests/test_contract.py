@@ -10,7 +10,7 @@ from .conftest import DATA
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert "p5_found" in QUERIES and not [q for q in QUERIES if q[0] == "p" and q != "p5_found"]
+    assert "p5_found" in QUERIES and not [q for q in QUERIES if q[0] == "p" and not q.startswith("p5_")]
 
 
 def test_the_core_does_not_import_the_optional_part():
