@@ -102,11 +102,12 @@ def test_queries_leave_out_no_row(spark, rows, tmp_path):
     from weft.plans.registry import QUERIES
 
     fence = "# One\nalpha\n```\n# no heading\n```\n# Two\nbeta"
-    docs = [(1, fence), (2, "---\nkey: v\n---\n# Three\ngamma"), (3, "# Four\n~~~\n# none\n~~~\ndelta"), (4, "# Five\nepsilon"), (5, None)]
+    # ids at which the queries put nothing into a text or path
+    docs = [(2, fence), (5, "---\nkey: v\n---\n# Three\ngamma"), (8, "# Four\n~~~\n# none\n~~~\ndelta"), (11, "# Five\nepsilon"), (14, None)]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    files = [(1, "a/../b.rs"), (2, "a//c.rs"), (3, "a/./d.rs"), (4, "e.rs"), (5, None)]
+    files = [(4, "a/../b.rs"), (8, "a//c.rs"), (12, "a/./d.rs"), (16, "e.rs"), (20, None)]
     spark.createDataFrame(files, "id long, path string").write.parquet(f"{tmp_path}/files.parquet")
     run = lambda q: QUERIES[q](spark, str(tmp_path))
-    assert rows(run("x10_rule_sections"), "doc_id", "heading") == [(1, "One"), (1, "Two"), (2, "Three"), (3, "Four"), (4, "Five")]
-    assert rows(run("x12_markdown_compress"), "doc_id") == [(1,), (2,), (3,), (4,)]
-    assert rows(run("s21_absolute")) == [(1, "/home/u/b.rs"), (2, "/home/u/a/c.rs"), (3, "/home/u/a/d.rs"), (4, "/home/u/e.rs")]
+    assert rows(run("x10_rule_sections"), "doc_id", "heading") == [(2, "One"), (2, "Two"), (5, "Three"), (8, "Four"), (11, "Five")]
+    assert rows(run("x12_markdown_compress"), "doc_id") == [(2,), (5,), (8,), (11,)]
+    assert rows(run("s21_absolute")) == [(4, "/home/u/b.rs"), (8, "/home/u/a/c.rs"), (12, "/home/u/a/d.rs"), (16, "/home/u/e.rs")]
