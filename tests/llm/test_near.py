@@ -118,3 +118,50 @@ def test_components_that_are_not_settled_are_an_error(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)], "a long, b long")
     with pytest.raises(RuntimeError, match="not settled"):
         near.components(spark.range(1, 61), links, most_rounds=2)
+
+
+def test_variants_are_shuffled_once(spark):
+    rng = random.Random(7)
+    texts = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(40))) for i in range(1000)]
+    texts += [(1000 + i, texts[i][1] + " end") for i in range(20)]
+    df = spark.createDataFrame(texts, "id long, text string")
+    jvm = spark.sparkContext._jvm
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before, old = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert near.near_duplicates(df, k=3, least=0.5)[1].count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # 28 variants a record
+    rows = sum(n for k, n in written().items() if k not in before)
+    assert rows < 45 * len(texts), rows
+
+
+@pytest.mark.parametrize("batch", [1, 7, 1000])
+def test_keys_meet_over_batches(spark, batch):
+    rng = random.Random(batch)
+    data = [(key, rng.randrange(300), rng.choice([4, 5, 9]), b"u%d" % key, key % 3, 50) for key, n in enumerate([1, 2, 5, 1, 6, 40, 3, 23, 17, 6, 1, 5, 12]) for _ in range(n)]
+    df = spark.createDataFrame(data, "key long, id long, size int, used binary, of long, n long")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = near.met_rows(df, 0.5, 5).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    by = {}
+    for r in data:
+        by.setdefault(r[0], []).append(r)
+    want = {tuple(sorted((x[1], y[1]))) for g in by.values() if len(g) <= 5 for x, y in itertools.combinations(g, 2) if x[1] != y[1] and 2 * min(x[2], y[2]) >= max(x[2], y[2])}
+    assert {(r.id, r.b) for r in got if r.b is not None} == want
+    crowded = sorted((r.key, r.id, r["size"], bytes(r.used), r.of, r.n) for r in got if r.b is None and r.total is None)
+    assert crowded == sorted(r for g in by.values() if len(g) > 5 for r in g)
+    for of in range(3):
+        sums = [len(g) for key, g in by.items() if key % 3 == of]
+        parts = [r for r in got if r.total is not None and r.of == of]
+        assert (sum(r.total for r in parts), sum(r.same for r in parts)) == (sum(sums), sum(c * (c - 1) for c in sums))
