@@ -1,6 +1,7 @@
 """Problem 4: mentions planted in held-out texts, the aggregation of votes, redaction, and awkward rows."""
 
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -136,3 +137,46 @@ def test_letters_of_any_script_and_places():
         assert (kind, m) in [(k, t[s:e]) for k, s, e in P.spans(t, f.names)]
     t = "social insurance number: 046 454 286"
     assert [(k, t[s:e]) for k, s, e, _ in f.mentions(t)] == [("identity", "046 454 286")]
+
+
+def test_signs_are_looked_up_in_one_pass():
+    """A text without a candidate costs a few calls, however many words and signs are looked for, and nothing is lost by that."""
+    f, rng = P.Finder(NAMES, [t for t, _ in texts(1, 3000)]), random.Random(4)
+    plain = ["The cache keeps stale windows on slow disks.", "A row of the table is close to the road map, so walk the graph first.", "Wählt das größte Fenster auf dem Weg zum Index.", "see also\nthe parade of ßtale rows"]
+    calls = 0
+
+    def count(_frame, event, _arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    got = [P.spans(t, f.names) for t in plain]
+    sys.setprofile(None)
+    assert got == [[]] * 4 and calls < 40 * len(plain)
+
+    pieces = ["12", "58b", "Tansylow", "copperham", "Street", "street,", "Rd.", "St", "row", "rows", "Lane 170", "way, 7", "way.9", "Flat 3", "12 rue", "de la Paix", "weg 4", "Ostwickstrasse 191", "٣٤", "close_2", "Marina", "brandander", "MARINA,", "Élan", "J.", "a@b.test", "x (at) y.test", "dot", "+44 7700 900123", "1234", "56", "passport V2453001", "see", "the", "."]
+    found = 0
+    for _ in range(6000):
+        t = rng.choice(["", " "]) + "".join(rng.choice(pieces) + rng.choice([" ", " ", " ", "", ", "]) for _ in range(rng.randrange(1, 9)))
+        low, got = P.lowered(t), set(P.spans(t, f.names))
+        want = {("address", *m.span()) for on, rs in ((P._STREETS, (P._NUMBERED, P._STREET_FIRST)), (P._ABROAD, (P._FOREIGN,)), (P._JOINED_ENDS, (P._JOINED,))) if any(w in low for w in on) for r in rs for m in r.finditer(t)}
+        want |= {("identity", *m.span()) for m in P._CODES.finditer(t) if P._SIX.search(t)}
+        mails = {m.span() for m in P._EMAIL.finditer(t)} | {m.span() for m in P._SPELT.finditer(t) if " dot " in low}
+        want |= {("email", *m) for m in mails}
+        names = {("name", m.start("a"), m.end("b")) for m in P._CAPS.finditer(t)}
+        want |= {x for x in names if not any(a < x[2] and x[1] < b for a, b in mails)}
+        assert {x for x in got if x[0] in ("address", "email")} == {x for x in want if x[0] in ("address", "email")} and want <= got, t
+        found += len(want)
+    assert found > 2000
+
+
+def test_word_counts_of_any_text():
+    t = ["the Cache keeps the caches", "x86 ab abc1def ABC don't", "größe ßtale naïve_word naïve", "the"]
+    assert P.word_counts(t) == {"the": 2, "keeps": 1, "caches": 1, "abc": 1, "def": 1, "don": 1, "größe": 1, "ßtale": 1, "naïve": 1, "word": 1}
+
+
+def test_short_street_words_before_any_sign():
+    names = P.Names(NAMES, [], set())
+    for end in ("", "?", "!", ";", ")", ":", "\n", ".", ",", '"', " now"):
+        assert [(k, s) for k, s, _ in P.spans(f"He moved to 6 Mosscombe Rd{end}", names) if k == "address"] == [("address", 12)], end
+    assert P.spans("He moved to 6 mosscombe rdx", names) == []

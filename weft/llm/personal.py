@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +47,14 @@ _STREET_WORD = r"(?!(?i:the|a|an|of|for|per|and|or|to|in|on|at|with|from|by|ms|i
 _NUMBERED = re.compile(rf"(?<![\w./-])(?:{_UNIT},? )?\d{{1,5}}[a-z]?,? (?:{_STREET_WORD} ){{1,3}}?{_SUFFIX}(?:,? {_UNIT})?")
 _STREET_FIRST = re.compile(rf"\b(?:(?:[A-Z][a-z'’-]+ ){{1,3}}|(?<![A-Z])\b{_STREET_WORD} ){_SUFFIX},? \d{{1,5}}[a-z]?\b(?![-. ]?\d)(?:,? {_UNIT})?")
 _JOINED = re.compile(rf"\b[^\W\d_]{{3,}}(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz) \d{{1,5}}[a-z]?\b(?:,? {_UNIT})?")
-_STREETS = tuple(f" {w}" for w in _LONG) + tuple(f" {w}{e}" for w in _SHORT for e in (" ", ".", ",", '"'))
+_STREETS = tuple(f" {w}" for w in _LONG + _SHORT)
+_DIGIT = re.compile(r"\d")
+_NUMBER_NEXT = re.compile(r"\.?,? \d")
 _ABROAD = tuple(f" {w} " for w in "rue avenue boulevard place chemin impasse allée quai via viale piazza corso calle avenida plaza paseo rua travessa ulica".split())
 _SIX = re.compile(r"\d\D?\d\D?\d\D?\d\D?\d\D?\d")
+# what a text must hold, in lower case, to be searched for more; looked up together with the names
+_MAIL, _DOT_WORD, _STREET, _STREET_ABROAD, _STREET_JOINED, _NAME, _LEARNT = (1 << i for i in range(7))
+_SIGNS = ((("@", "＠", "at]", "at)", "at}", "at>", "at ]"), _MAIL), ((" dot ",), _DOT_WORD), (_STREETS, _STREET), (_ABROAD, _STREET_ABROAD), (_JOINED_ENDS, _STREET_JOINED))
 # letters of the scripts that have case: Latin with all its extensions, Greek, Cyrillic, Armenian
 _LETTERS = [chr(c) for c in (*range(0x41, 0x590), *range(0x1E00, 0x2000)) if chr(c).isalpha()]
 _UP, _LOW = "".join(c for c in _LETTERS if c.isupper()), "".join(c for c in _LETTERS if c.islower()) + "̀-̣"
@@ -61,6 +66,11 @@ _CAPS = re.compile(rf"(?<![\w'./@-])(?=(?P<a>[{_UP}][{_LOW}]+|[{_UP}]{{3,}}|[{_U
 _NEXT = re.compile(rf"\s?(?<!\w)(?=(?P<a>{_FIRST})(?P<sep>,? )(?P<b>{_SECOND})(?![\w'/@]))")
 _RIGHT = re.compile(rf"(,? )({_SECOND})(?![\w'/@])")
 _LEFT = re.compile(rf"(?<![\w'./@-])({_FIRST})(,? )$")
+# an ASCII text as classes of its characters, in which both searches jump to a capital or a digit
+_CLASSES = bytes(ord("A" if c.isupper() else "a" if c.islower() else "9" if c.isdigit() else c) for c in map(chr, range(128))) + bytes(128)
+_CLASS_PAIR = re.compile(rb"A[Aa]*\.?,? A")
+_CLASS_SIX = re.compile(rb"9[^9]?9[^9]?9[^9]?9[^9]?9[^9]?9")
+_LETTERS_ONLY = bytes(i if chr(i).isalpha() else 32 for i in range(128)) + b" " * 128
 _WORDS = re.compile(r"[^\W_]+|[^\w\s]")
 _LETTERED = re.compile(r"[^\W\d_]{3,}")
 _SHAPE = re.compile(rf"[{_UP}]+|[{_LOW}]+|\d")
@@ -92,37 +102,38 @@ class Names:
         y = np.array([v for _, v in labelled])
         weight = np.where(y == 1, max(1.0, (y == 0).sum() / max(1, (y == 1).sum())), 1.0)
         self.letters = logit.fit(x, y, weight, epochs=8) if both else np.zeros(logit.DIM, np.float32)
-        self._auto = ahocorasick.Automaton()
-        for w in both:
-            self._auto.add_word(w, len(w))
-        if both:
-            self._auto.make_automaton()
-        self.any = bool(both)
-        self._lefts, self._first = None, []
+        self._auto, self._first = ahocorasick.Automaton(), []
+        self._add((both, _NAME), *_SIGNS)
         self._memo: dict[str, float] = {}
 
+    def _add(self, *groups: tuple[Iterable[str], int]) -> None:
+        """Strings to be looked up in one pass over a text, with what each stands for; one string can stand for several things."""
+        for keys, sign in groups:
+            for k in filter(None, keys):
+                self._auto.add_word(k, (len(k), sign | self._auto.get(k, (0, 0))[1]))
+        self._auto.make_automaton()
+
     def learn(self, lefts: list[str]) -> None:
         """Contexts (``l2 l1``, in lower case) after which any two words are a candidate."""
-        import ahocorasick
-
         self._first = [b for a, b in (c.rsplit(" ", 1) for c in sorted(lefts)) if a == "^"]
         keys = {k for a, b in (c.rsplit(" ", 1) for c in lefts) if a != "^" for k in (f"{a} {b}", a + b if not (a[-1:].isalnum() and b[:1].isalnum()) else f"{a} {b}")}
-        self._lefts = ahocorasick.Automaton() if keys else None
-        for k in keys:
-            self._lefts.add_word(k, len(k))
-        if keys:
-            self._lefts.make_automaton()
-
-    def follow(self, text: str, low: str) -> Iterator[tuple[int, int]]:
-        """The two words after each learnt context."""
+        self._add((keys, _LEARNT))
+
+    def scan(self, text: str, low: str) -> tuple[int, list[int], list[tuple[int, int]], list[tuple[int, int]]]:
+        """All signs in a text, the ends of its words for streets, its whole words that are in the list, and the two words after each learnt context."""
+        signs, streets, hits, n = 0, [], [], len(low)
         ends = [len(f) for f in self._first if low.startswith(f)]
-        for end, size in self._lefts.iter(low) if self._lefts is not None else ():
-            s = end - size + 1
-            if s == 0 or not (low[s - 1].isalnum() or low[s - 1] == "_") or not low[s].isalnum():
-                ends.append(end + 1)
-        for at in ends:
-            if m := _NEXT.match(text, at):
-                yield m.start("a"), m.end("b")
+        for end, (size, sign) in self._auto.iter(low):
+            signs |= sign
+            if sign & (_NAME | _LEARNT | _STREET):
+                s, e = end - size + 1, end + 1
+                if sign & _STREET and (e == n or not (low[e].isalnum() or low[e] == "_")):
+                    streets.append(e)
+                if sign & _NAME and (s == 0 or not (low[s - 1].isalnum() or low[s - 1] in "_@")) and (e == n or not (low[e].isalnum() or low[e] in "_@")):
+                    hits.append((s, e))
+                if sign & _LEARNT and (s == 0 or not (low[s - 1].isalnum() or low[s - 1] == "_") or not low[s].isalnum()):
+                    ends.append(e)
+        return signs, streets, hits, [(m.start("a"), m.end("b")) for at in ends if (m := _NEXT.match(text, at))]
 
     @staticmethod
     def _letters(w: str) -> list[str]:
@@ -138,28 +149,24 @@ class Names:
             p = self._memo[w] = float(logit.scores(self.letters, np.array([logit.index(self._letters(w))]))[0])
         return p
 
-    def hits(self, low: str) -> Iterator[tuple[int, int]]:
-        """Whole words of a lower-case text that are in the list."""
-        if not self.any:
-            return
-        n = len(low)
-        for end, size in self._auto.iter(low):
-            s, e = end - size + 1, end + 1
-            if (s == 0 or not (low[s - 1].isalnum() or low[s - 1] in "_@")) and (e == n or not (low[e].isalnum() or low[e] in "_@")):
-                yield s, e
-
 
 def spans(text: str, names: Names) -> list[tuple[str, int, int]]:
     """All candidate spans ``(kind, start, end)`` of a text."""
-    out: set[tuple[str, int, int]] = set()
     low = lowered(text)
-    mails: list[tuple[int, int]] = []
-    if "@" in text or "＠" in text or "at]" in low or "at)" in low or "at}" in low or "at>" in low or "at ]" in low:
-        mails = [m.span() for m in _EMAIL.finditer(text)]
-    if " dot " in low:
+    signs, streets, hits, pairs = names.scan(text, low)  # most texts hold nothing: one pass says so
+    if text.isascii():
+        classes = text.encode().translate(_CLASSES)
+        six, pair = _CLASS_SIX.search(classes), _CLASS_PAIR.search(classes)
+    else:
+        six, pair = _SIX.search(text), _PAIR.search(text)
+    if not (signs or six or pair or pairs):
+        return []
+    out: set[tuple[str, int, int]] = set()
+    mails = [m.span() for m in _EMAIL.finditer(text)] if signs & _MAIL else []
+    if signs & _DOT_WORD:
         mails += [m.span() for m in _SPELT.finditer(text)]
     out.update(("email", *m) for m in mails)
-    if _SIX.search(text):
+    if six:
         for m in _DIGITS.finditer(text):
             s, e = m.span()
             n = sum(c.isdigit() for c in m.group())
@@ -172,16 +179,17 @@ def spans(text: str, names: Names) -> list[tuple[str, int, int]]:
             for m in _CODE_CUE.finditer(text):
                 if any(c.isdigit() for c in m.group(1)):
                     out.add(("identity", *m.span(1)))
-    if any(w in low for w in _STREETS):
-        for r in (_NUMBERED, _STREET_FIRST):
-            out.update(("address", *m.span()) for m in r.finditer(text))
-    if any(w in low for w in _ABROAD):
+    if streets and _DIGIT.search(text, 0, streets[-1]):  # a house number stands before the street or right after it
+        out.update(("address", *m.span()) for m in _NUMBERED.finditer(text))
+    if any(_NUMBER_NEXT.match(low, e) for e in streets):
+        out.update(("address", *m.span()) for m in _STREET_FIRST.finditer(text))
+    if signs & _STREET_ABROAD:
         out.update(("address", *m.span()) for m in _FOREIGN.finditer(text))
-    if any(w in low for w in _JOINED_ENDS):
+    if signs & _STREET_JOINED:
         out.update(("address", *m.span()) for m in _JOINED.finditer(text))
-    pairs = [(m.start("a"), m.end("b")) for m in _CAPS.finditer(text)] if _PAIR.search(text) else []
-    pairs += names.follow(text, low)
-    for s, e in names.hits(low):
+    if pair:
+        pairs += [(m.start("a"), m.end("b")) for m in _CAPS.finditer(text)]
+    for s, e in hits:
         if m := _RIGHT.match(text, e):
             pairs.append((s, m.end(2)))
         if m := _LEFT.search(text, max(0, s - 24), s):
@@ -202,10 +210,14 @@ def _around(text: str, s: int, e: int) -> tuple[list[str], list[str]]:
     return _WORDS.findall(text[max(0, s - 30) : s].lower())[-3:], _WORDS.findall(text[e : e + 24].lower())[:3]
 
 
-def _contexts(text: str, kind: str, s: int, e: int) -> tuple[str, str, str, str]:
-    """A candidate's contexts, with its kind: two words before and one after, two words before, one word before, one word after."""
+def _edges(text: str, s: int, e: int) -> tuple[str, str, str]:
+    """The word before a span, the word before that, and the word after it; ``^`` and ``$`` where a text ends."""
     left, right = _around(text, s, e)
-    l1, l2, r1 = (left[-1] if left else "^"), (left[-2] if len(left) > 1 else "^"), (right[0] if right else "$")
+    return (left[-1] if left else "^"), (left[-2] if len(left) > 1 else "^"), (right[0] if right else "$")
+
+
+def _contexts(kind: str, l1: str, l2: str, r1: str) -> tuple[str, str, str, str]:
+    """A candidate's contexts, with its kind: two words before and one after, two words before, one word before, one word after."""
     return f"{kind}:{l2} {l1}|{r1}", f"{kind}:{l2} {l1}", f"{kind}:{l1}", f"{kind}:|{r1}"
 
 
@@ -235,9 +247,9 @@ class Contexts:
         """The contexts ``l2 l1`` in which names are usual."""
         return [c[5:] for c, p in self.share.items() if c.startswith("name:") and "|" not in c and " " in c and p >= 0.4]
 
-    def votes(self, text: str, kind: str, s: int, e: int) -> tuple[int, int]:
+    def votes(self, kind: str, l1: str, l2: str, r1: str) -> tuple[int, int]:
         """By the words before and by the word after: 1 where candidates of the kind are usually sure, -1 where they hardly ever are, else 0."""
-        *before, after = (self.share.get(c) for c in _contexts(text, kind, s, e))
+        *before, after = (self.share.get(c) for c in _contexts(kind, l1, l2, r1))
         known = max((p for p in before if p is not None), default=0.2)
         return self._vote(known), self._vote(0.2 if after is None else after)
 
@@ -249,10 +261,8 @@ class Contexts:
 def judge(text: str, kind: str, s: int, e: int, names: Names, contexts: Contexts) -> tuple[list[int], list[str]]:
     """The labelers' votes on a candidate, and its features for the span classifier."""
     body = text[s:e]
-    left, right = _around(text, s, e)
-    l1, l2, r1 = (left[-1] if left else "^"), (left[-2] if len(left) > 1 else "^"), (right[0] if right else "$")
-    shape = _shape(body)
-    context, after = contexts.votes(text, kind, s, e)
+    l1, l2, r1 = _edges(text, s, e)
+    context, after = contexts.votes(kind, l1, l2, r1)
     f = ["bias", f"l1={l1}", f"l2={l2},{l1}", f"r1={r1}", f"context={context}", f"after={after}"]
     if kind == "email":
         host = re.split(_AT, body, maxsplit=1)[-1]
@@ -271,7 +281,7 @@ def judge(text: str, kind: str, s: int, e: int, names: Names, contexts: Contexts
         bare = body.isdigit() and not body.startswith("0")
         numbered = any(m.span(1) == (s, e) for m in _CODE_CUE.finditer(text, max(0, s - 40), min(len(text), e + 1)))
         votes = [1 if good else -1, -1 if date or version else 0, -1 if bare else 0, context, after, -1 if not good and context < 1 else 0, -1 if _CODES.fullmatch(body) else 0, -1 if numbered else 0, 1 if 9 <= n <= 13 and not bare else -1]
-        f += [f"good={good}", f"date={date}", f"version={version}", f"bare={bare}", f"n={n}", f"shape={shape}", f"code={bool(_CODES.fullmatch(body))}", f"numbered={numbered}", f"sign={body[0] if not body[0].isdigit() else body[:1] == '0'}"]
+        f += [f"good={good}", f"date={date}", f"version={version}", f"bare={bare}", f"n={n}", f"shape={_shape(body)}", f"code={bool(_CODES.fullmatch(body))}", f"numbered={numbered}", f"sign={body[0] if not body[0].isdigit() else body[:1] == '0'}"]
     elif kind == "identity":
         known = bool(_CODES.fullmatch(body))
         digits = sum(c.isdigit() for c in body)
@@ -279,7 +289,7 @@ def judge(text: str, kind: str, s: int, e: int, names: Names, contexts: Contexts
         lettered = body[:1].isalpha()
         phone = bool(_PHONE_SHAPES.fullmatch(body)) and not known
         votes = [1 if known else 0, 1 if cue else 0, context, after, -1 if phone and not cue else 0, -1 if digits < 6 else 1]
-        f += [f"known={known}", f"cue={cue}", f"digits={digits}", f"shape={shape}", f"phone={phone}", f"lettered={lettered}"]
+        f += [f"known={known}", f"cue={cue}", f"digits={digits}", f"shape={_shape(body)}", f"phone={phone}", f"lettered={lettered}"]
     elif kind == "address":
         words = re.findall(r"[^\W\d_]+", re.sub(r"\b\d+[a-z]?\b", "", re.split(rf",? {_UNIT}", body)[0]))
         caps = all(w[0].isupper() for w in words)
@@ -344,7 +354,14 @@ def reliabilities(votes: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.n
 
 def word_counts(texts: list[str]) -> Counter[str]:
     """In how many of ``texts`` each word occurs in lower case, as names hardly do."""
-    return Counter(w for t in texts for w in set(_LETTERED.findall(t)) if w.islower())
+    every: Counter[str | bytes] = Counter()
+    for t in texts:
+        every.update(set(t.encode().translate(_LETTERS_ONLY).split() if t.isascii() else _LETTERED.findall(t)))
+    out: Counter[str] = Counter()
+    for w, c in every.items():  # each word is looked at once, not once a text
+        if len(w) > 2 and w.islower():
+            out[w if isinstance(w, str) else w.decode()] += c
+    return out
 
 
 def common_words(counts: dict[str, int], n: int) -> set[str]:
@@ -359,7 +376,7 @@ def context_counts(texts: list[str], names: Names) -> tuple[Counter[str], Counte
     for t in texts:
         for k, s, e in spans(t, names):
             known = sure(t, k, s, e, names)
-            for c in _contexts(t, k, s, e):
+            for c in _contexts(k, *_edges(t, s, e)):
                 every[c] += 1
                 hits[c] += known
     return every, hits
